@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; a temporary one only where it names none (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="kennelflow-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    It is computed once (``checkpoint()`` would compute it twice), and no later stage depends on the
+    shuffle files of an executor that may be lost.
+    """
+    path = f"{shared_dir(df.sparkSession)}/kennelflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def latest_rows(df: DataFrame, key: str, version: str, cols: list[str]) -> DataFrame:
+    """One row per ``key``: that with the greatest ``version`` (null is least), ties by the greater columns.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is taken.
+    Rows with a null key are left out. Aggregated with map-side combine, so repeats cost no exchange.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kennelflow-"))
-    return df.checkpoint(eager=True)
+    rest = [c for c in cols if c != key]
+    kept = df.filter(F.col(key).isNotNull())
+    return kept.groupBy(key).agg(F.max(F.struct(F.col(version).alias("_version"), *rest)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kennelflow.io import table
+from kennelflow.io import latest_rows, table
+from kennelflow.operators import nearness as N
 from kennelflow.operators import snapshots as S
+from kennelflow.operators import units as U
 
 COMPARED = ("name", "breed_raw", "age_raw", "weight_raw", "status_raw", "status_normalized")
 TRACKED = ("status_raw", "status_normalized", "weight_raw")
@@ -33,7 +35,31 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return h.select("source_id", "listing_key", "from_run_id", "to_run_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_new_dogs": p3_new_dogs, "p7_found": p7_found}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    listings = latest_rows(table(spark, d, "dog_listings"), "id", "updated_at", ["latitude", "longitude"]).toDF("id", "lat", "lon")
+    w = table(spark, d, "watches").select(
+        F.col("id").alias("qid"), F.col("latitude").alias("qlat"), F.col("longitude").alias("qlon"), F.get_json_object("parsed", "$.maxDistanceMiles").try_cast("double").alias("radius")
+    )
+    return N.within_radius(listings, w).select(F.col("qid").alias("watch_id"), F.col("id").alias("listing_id"))
+
+
+def p4_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Pounds and months of every listing that states them: id, quantity, amount, recorded."""
+    raws = ["weight_raw", "age_raw"]
+    listings = table(spark, d, "dog_listings").withColumn("description", F.when(U.needs_text(raws), F.col("description")))
+    cols = ["source_id", *raws, "weight_lbs_estimate", "age_months_estimate", "last_seen_at", "description"]
+    # the sources are few and small enough for Catalyst to broadcast by their measured size
+    notes = table(spark, d, "adoption_sources").groupBy(F.col("id").alias("source_id")).agg(F.max("notes").alias("notes"))
+    rows = latest_rows(listings, "id", "updated_at", cols).join(notes, "source_id", "left")
+    fields = {"weight": ("weight_raw", "weight_lbs_estimate"), "age": ("age_raw", "age_months_estimate")}
+    return U.to_common_units(U.parse_amounts(rows, fields, "id", "description", "notes", "last_seen_at"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return U.wrong_estimates(p4_amounts(spark, d)).select(F.col("id").alias("listing_id"), "quantity")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_amounts": p4_amounts, "p3_found": p3_found, "p3_new_dogs": p3_new_dogs, "p7_found": p7_found}
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -57,6 +83,13 @@ p3 as (select coalesce(n.run_id, o.run_id) as run_id, coalesce(n.source_id, o.so
   where o.run_id is null or n.run_id is null or {" or ".join(f"n.{c} <> o.{c}" for c in COMPARED)})"""
 
 SQL = {
+    "p2_found": """with l as (select id, latitude, longitude from dog_listings qualify row_number() over (partition by id order by updated_at desc) = 1),
+w as (select id, latitude, longitude, try_cast(json_extract_string(parsed, '$.maxDistanceMiles') as double) as radius from watches)
+select w.id as watch_id, l.id as listing_id from w join l on
+  abs(l.latitude) <= 90 and abs(l.longitude) <= 180 and not (l.latitude = 0 and l.longitude = 0)
+  and abs(w.latitude) <= 90 and abs(w.longitude) <= 180 and not (w.latitude = 0 and w.longitude = 0)
+  and 2 * 3958.7613 * asin(sqrt(least(1, pow(sin(radians(l.latitude - w.latitude) / 2), 2)
+    + cos(radians(w.latitude)) * cos(radians(l.latitude)) * pow(sin(radians(l.longitude - w.longitude) / 2), 2)))) <= radius""",
     "p3_found": _P3 + " select * from p3",
     "p3_new_dogs": _P3
     + """ select r.run_id, count(case when change_kind = 'added' then 1 end) as added, count(case when change_kind = 'removed' then 1 end) as removed,
