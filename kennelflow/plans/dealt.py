@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kennelflow.io import latest_rows, table
+from kennelflow.operators import drift as D
 from kennelflow.operators import nearness as N
 from kennelflow.operators import snapshots as S
 from kennelflow.operators import units as U
@@ -59,7 +60,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return U.wrong_estimates(p4_amounts(spark, d)).select(F.col("id").alias("listing_id"), "quantity")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_amounts": p4_amounts, "p3_found": p3_found, "p3_new_dogs": p3_new_dogs, "p7_found": p7_found}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return D.drift_report(table(spark, d, "feed_records"))
+
+
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    return D.consistent_table(table(spark, d, "feed_records"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p2_found": p2_found, "p4_found": p4_found, "p4_amounts": p4_amounts, "p3_found": p3_found, "p3_new_dogs": p3_new_dogs, "p7_found": p7_found}
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
