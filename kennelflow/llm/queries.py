@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kennelflow.io import latest_rows, table
+from kennelflow.io import cut_lineage, latest_rows, table
+from kennelflow.llm import mixing as M
+from kennelflow.llm import packing as P
 from kennelflow.llm import survivors as V
 from kennelflow.llm import vocabulary as C
+from kennelflow.llm.tokens import count_tokens
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -47,5 +50,35 @@ def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return none.groupBy("field_name", F.when(F.col("field_name") == "breed", F.col("breed_raw")).otherwise(F.col("color_raw")).alias("value")).agg(F.count("*").alias("listings"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_unmatched": p6_unmatched}
+#: Notes on persons never share a container with texts written to be published.
+KEEP_APART = (("adopter_application", "event_post"), ("medical_note", "event_post"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, part_no, from_token, size, container: every document's tokens in containers of 2,048."""
+    docs = table(spark, d, "documents").withColumn("cluster", P.text_cluster(F.col("text")))
+    items = cut_lineage(P.split_long(count_tokens(docs, ["doc_id", "source", "cluster"]), P.CAPACITY))
+    packed = P.pack(items, P.CAPACITY, KEEP_APART)
+    return packed.withColumn("from_token", F.col("part_no").cast("bigint") * P.CAPACITY)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return P.fill_report(p8_containers(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return M.mix(count_tokens(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mix_targets"))
+
+
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source, pass_no, tokens of the mix."""
+    return _mixed(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per source the wanted and the reached share, the budget and the repeats."""
+    return _mixed(spark, d)[1]
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p1_found": p1_found, "p6_found": p6_found, "p6_unmatched": p6_unmatched}
 SQL: dict[str, str] = {}

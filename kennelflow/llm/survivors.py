@@ -57,11 +57,12 @@ def _grams(s: str, gap: int) -> Column:
 
 
 def text_worth(rows: DataFrame) -> DataFrame:
-    """rows: gid, id, name, text -> id, gid, body: the text's own part, lower case, '' if there is none.
+    """rows: gid, id, name, text -> gid, id, whole, stem: the text's own part, lower case, '' if there is none.
 
-    ``body`` is what remains after the general sentences; a wholly general text has none. A sentence is
+    ``stem`` is what remains after the general sentences; a wholly general text has none. A sentence is
     general if it follows or precedes another one on many entities, or stands between two such (a
-    sentence with a name that the record doesn't give). ``cut`` tells that the remaining text breaks off.
+    sentence with a name that the record doesn't give). ``whole`` tells that a biography remains that
+    doesn't break off.
     """
     t = rows.filter("text is not null").select("gid", "id", plain_text(F.col("text")).alias("plain"), "name").filter("plain <> ''")
     t = t.select("gid", "id", "name", sentences(F.col("plain")).alias("own")).withColumn("s", masked(F.col("own"), F.col("name"))).drop("name")
@@ -85,7 +86,8 @@ def text_worth(rows: DataFrame) -> DataFrame:
     out = m.select("gid", "id", body.alias("body"))
     stub = r"(?:\.\.\.|…|\[more\]|read more\W*|see more\W*|continue reading\W*)$"
     cut = F.col("body").rlike(stub) | ~F.col("body").rlike(r"[.!?][\"')\]*_]*$")
-    return out.withColumn("cut", cut).withColumn("stem", F.trim(F.regexp_replace("body", stub, "")))
+    whole = (F.col("body") != "") & ~cut & (F.size(F.split("body", " ")) >= 8)
+    return out.select("gid", "id", whole.alias("whole"), F.trim(F.regexp_replace("body", stub, "")).alias("stem"))
 
 
 def cut_copies(worth: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def cut_copies(worth: DataFrame) -> DataFrame:
     following = F.lead("stem").over(Window.partitionBy("gid", "head").orderBy("stem"))
     short = d.withColumn("next", following).filter(F.startswith("next", "stem")).select("gid", "stem")
     w = worth.join(short.withColumn("_short", F.lit(True)), ["gid", "stem"], "left")
-    return w.select("id", ((F.col("body") != "") & ~F.col("cut") & F.col("_short").isNull() & (F.size(F.split("body", " ")) >= 8)).alias("complete"))
+    return w.select("id", (F.col("whole") & F.col("_short").isNull()).alias("complete"))
 
 
 def picture_key(url: Column) -> Column:
