@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kennelflow.io import cut_lineage, latest_rows, table
 from kennelflow.llm import mixing as M
 from kennelflow.llm import packing as P
+from kennelflow.llm import personal as I
 from kennelflow.llm import survivors as V
 from kennelflow.llm import vocabulary as C
 from kennelflow.llm.tokens import count_tokens
@@ -80,5 +81,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p1_found": p1_found, "p6_found": p6_found, "p6_unmatched": p6_unmatched}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return I.personal_information(table(spark, d, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, text with typed placeholders."""
+    docs = table(spark, d, "documents")
+    return I.redact(docs, I.personal_information(docs))
+
+
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p1_found": p1_found, "p6_found": p6_found, "p6_unmatched": p6_unmatched}
 SQL: dict[str, str] = {}
