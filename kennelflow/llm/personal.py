@@ -36,6 +36,8 @@ EMAIL = re.compile(
     rf"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*(?:(?:\s?\(dot\)\s?|\s?\[dot\]\s?|\sdot\s)[\w+%-]+)*(?:{_AT}[A-Za-z0-9][\w-]*(?:{_DOT}[A-Za-z][\w-]*)+|\sat\s[A-Za-z0-9][\w-]*(?:(?:\s?\(dot\)\s?|\s?\[dot\]\s?|\sdot\s)[A-Za-z][\w-]*)+)",
     re.I,
 )
+# Whatever has an address has one of these.
+_EMAIL_SIGNS = ("@", "(at)", "[at]", "{at}", "dot")
 _S = r"[\s. /‐–—-]{0,3}"
 PHONE = re.compile(
     rf"(?<![\w/@#.-])(?:\+?1{_S})?\(?[2-9]\d\d\)?{_S}[2-9]\d\d{_S}\d{{4}}(?![\w@])(?![-./]\d)"
@@ -54,7 +56,7 @@ ADDRESS = re.compile(
     r"|(?<!\w)(?:P\.?\s?O\.?\s?Box|Apartado(?: de correos)?|B\.?P\.?)\s+\d{1,6}\b",
     re.I,
 )
-NUMBER = re.compile(r"(?<![\w/.+-])(?:[A-Z]{1,3}[ -]?)?\d(?:[ -]?\d){5,14}(?:[ -]?[A-Z])?(?![\w/])(?!-\d)")
+NUMBER = re.compile(r"(?<![\w/.+-])(?:[A-Z]{1,2}(?=\d)|[A-Z]{2} (?=\d\d \d\d \d\d))?\d(?:[ -]?\d){5,14}(?:[ -]?[A-Z])?(?![\w/])(?!-\d)")
 # Shapes of well-known identity numbers (US, Spain, Britain).
 SEED_SHAPES = ("999-99-9999", "99999999A", "A9999999A", "AA999999A")
 _TITLE = re.compile(r"(?<![\w])(?:mr|mrs|ms|mx|miss|dr|sra?|srta|mme|mlle|prof|don|doña|señora?|monsieur|madame)\.?\s+(?=\S)", re.I)
@@ -69,7 +71,14 @@ _LOCAL_STOP = set("dogs info adopt adoption adoptions foster contact hello offic
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of emails, phone numbers and addresses; of overlapping ones the first kind counts."""
     out: list[tuple[int, int, str]] = []
-    for kind, rx in (("email", EMAIL), ("address", ADDRESS), ("phone", PHONE), ("phone", _PHONE_PREFIXED)):
+    low = text.lower()
+    rules = [("email", EMAIL)] if any(x in low for x in _EMAIL_SIGNS) else []
+    digits = sum(map(text.count, "0123456789"))
+    if digits:
+        rules.append(("address", ADDRESS))
+    if digits >= 7:
+        rules += [("phone", PHONE), ("phone", _PHONE_PREFIXED)]
+    for kind, rx in rules:
         for m in rx.finditer(text):
             i, j = m.span()
             while i < j and not text[i].isalnum():
@@ -117,55 +126,72 @@ def numbers(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int
     return out
 
 
-def _free(i: int, j: int, taken: list[tuple[int, int, str]]) -> bool:
-    return all(j <= a or i >= b for a, b, _ in taken)
+def _blank(gap: str) -> bool:
+    """One to three blanks on one line, perhaps after a full stop."""
+    g = gap[1:] if gap[:1] == "." else gap
+    return 0 < len(g) <= 3 and g.isspace() and "\n" not in g
 
 
-def name_candidates(text: str, taken: list[tuple[int, int, str]], patterns: frozenset[str] | None = None) -> list[tuple[int, int, str, str, str, str, str]]:
+def _words(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The words outside the spans, in order."""
+    out, ends, k = [], sorted(taken), 0
+    for m in _TOKEN.finditer(text):
+        i, j = m.span()
+        while k < len(ends) and ends[k][1] <= i:
+            k += 1
+        if k == len(ends) or j <= ends[k][0]:
+            out.append((i, j, m[0]))
+    return out
+
+
+def name_candidates(text: str, taken: list[tuple[int, int, str]], patterns: frozenset[str] | None = None, ends: frozenset[str] = frozenset()) -> list[tuple[int, int, str, str, str, str, str]]:
     """(start, end, form, first, last, left, right) of word pairs that could be a person's name.
 
     Forms: ``pair`` (first or initial, last), ``title`` (title, last), ``turned`` (last, first) and ``lower``
-    (a pair without capitals, only beside one of ``patterns``). Words touching a span are no candidates.
+    (a pair without capitals, only beside one of ``patterns``; ``ends`` holds the pattern words that touch
+    it). Words touching a span are no candidates.
     """
-    toks = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text) if _free(m.start(), m.end(), taken)]
+    toks = _words(text, taken)
     titled = {m.end() for m in _TITLE.finditer(text)}
     out = []
 
     def org(k: int) -> bool:
         i = k + 1
-        return i < len(toks) and text[toks[k][1] : toks[i][0]] in (" ", "  ") and toks[i][2][:1].isupper() and toks[i][2].lower() in _ORG
+        return i < len(toks) and text[toks[k][1] : toks[i][0]].isspace() and toks[i][2][:1].isupper() and toks[i][2].lower() in _ORG
 
     def add(form: str, a: int, b: int, first: str, last: str) -> None:
         left = _words_before(text, toks[a][0], 2)
         out.append((toks[a][0], toks[b][1], form, first.lower(), family(last), left, _words_after(text, toks[b][1], 2)))
 
+    def touches(i: int, j: int) -> bool:
+        before, after = text[max(0, i - 24) : i].rstrip(" "), text[j : j + 24].lstrip(" ")
+        return not before or not after or before[-1:] in "\n>.!?" or any(x in ends for x in (before[-1:], after[:1], before.rsplit(" ", 1)[-1].lower(), re.split(r"\W", after, maxsplit=1)[0].lower()))
+
     for k, (i, j, w) in enumerate(toks):
         cap = w[0].isupper()
-        if i in titled and cap and not org(k) and len(w) > 2:
+        if cap and i in titled and len(w) > 2 and not org(k):
             add("title", k, k, "", w)
-        if k + 1 >= len(toks):
-            break
-        gap, nxt = text[j : toks[k + 1][0]], k + 1
-        # an initial, or a second first name, and a particle may stand between
-        first = w
-        if re.fullmatch(r"\.?[^\S\n]{1,3}", gap) and cap:
-            # first, initial, last
-            if not (len(w) > 1 and gap.startswith(".")):
-                mid = nxt
-                if len(w) > 1 and len(toks[mid][2]) == 1 and toks[mid][2].isupper() and mid + 1 < len(toks) and re.fullmatch(r"\.?[^\S\n]{1,3}", text[toks[mid][1] : toks[mid + 1][0]]):
-                    mid += 1
-                low = mid
-                while low + 1 < len(toks) and toks[low][2].lower() in _PARTICLE and toks[low][2].islower() and re.fullmatch(r"\s{1,2}", text[toks[low][1] : toks[low + 1][0]]):
+        nxt = k + 1
+        if nxt >= len(toks) or not cap and patterns is None:
+            continue
+        gap, other = text[j : toks[nxt][0]], toks[nxt][2]
+        if cap and _blank(gap):
+            # first or initial; a middle initial and a particle may stand before the last name
+            if len(w) == 1 or not gap.startswith("."):
+                low = nxt
+                if len(w) > 1 and len(other) == 1 and other.isupper() and low + 1 < len(toks) and _blank(text[toks[low][1] : toks[low + 1][0]]):
+                    low += 1
+                while low + 1 < len(toks) and toks[low][2] in _PARTICLE and text[toks[low][1] : toks[low + 1][0]] in (" ", "  "):
                     low += 1
                 last = toks[low][2]
-                if (last[0].isupper() or "-" in last and last.split("-")[-1][:1].isupper()) and len(last) > 2 and (len(w) > 1 or gap.startswith(".")) and not org(low) and first.lower() not in _STOP:
-                    add("pair", k, low, first if len(first) > 1 else "", last)
-        if gap in (", ", ",") and cap and toks[nxt][2][0].isupper() and len(w) > 2 and len(toks[nxt][2]) > 2:
-            add("turned", k, nxt, toks[nxt][2], w)
-        if patterns is not None and re.fullmatch(r"\s{1,2}", gap) and w.islower() and toks[nxt][2].islower() and len(toks[nxt][2]) > 3 and w not in _STOP:
+                if (last[0].isupper() or "-" in last and last.split("-")[-1][:1].isupper()) and len(last) > 2 and (len(w) > 1 or gap.startswith(".")) and w.lower() not in _STOP and not org(low):
+                    add("pair", k, low, w if len(w) > 1 else "", last)
+        elif cap and gap in (", ", ",") and other[0].isupper() and len(w) > 2 and len(other) > 2:
+            add("turned", k, nxt, other, w)
+        elif not cap and len(other) > 3 and gap.isspace() and w.islower() and other.islower() and w not in _STOP and touches(i, toks[nxt][1]):
             left, right = _words_before(text, i, 2), _words_after(text, toks[nxt][1], 2)
             if "L " + left in patterns or "R " + right in patterns:
-                add("lower", k, nxt, w, toks[nxt][2])
+                add("lower", k, nxt, w, other)
     return out
 
 
@@ -190,8 +216,8 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, seed_sco
     """Scores of the pattern-instance graph: (pattern, score, n), (instance, score, n).
 
     ``edges``: pattern, instance, n. ``seeds``: instance. A pattern's score is the weighted mean of its
-    instances' (with ``smooth`` doubtful ones added), an instance's that of its patterns'; a seed has at least
-    ``seed_score``. Two aggregations a round, with partial sums before the exchange, so that a pattern or an
+    instances' (with ``smooth`` doubtful ones added), an instance's that of its patterns'; during the rounds a
+    seed has at least ``seed_score``, in the result it has what its patterns say. Two aggregations a round, with partial sums before the exchange, so that a pattern or an
     instance with a third of all edges is no bottleneck.
     """
     e = cut_lineage(edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")))
@@ -202,8 +228,8 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, seed_sco
         pat = e.join(score, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + smooth)).alias("p"), F.sum("n").alias("n_pattern"))
         pat = cut_lineage(pat)
         inst = e.join(pat, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("mean"), F.sum("n").alias("n_instance"))
-        score = cut_lineage(inst.join(seed, "instance", "left").select("instance", F.greatest("mean", F.coalesce("seed", F.lit(0.0))).alias("score"), "n_instance"))
-    return pat.select("pattern", F.col("p").alias("score"), F.col("n_pattern").alias("n")), score.select("instance", "score", F.col("n_instance").alias("n"))
+        score = cut_lineage(inst.join(seed, "instance", "left").select("instance", F.greatest("mean", F.coalesce("seed", F.lit(0.0))).alias("score"), "mean", "n_instance"))
+    return pat.select("pattern", F.col("p").alias("score"), F.col("n_pattern").alias("n")), score.select("instance", F.col("mean").alias("score"), F.col("n_instance").alias("n"))
 
 
 _EVENTS = "what string, pattern string, instance string, first string, n bigint"
@@ -250,6 +276,7 @@ def personal_information(docs: DataFrame) -> DataFrame:
     all_n = names.agg(F.sum("n").alias("all"))
     strong = pats.join(F.broadcast(all_n)).filter((F.col("score") >= GOOD_PATTERN) & (F.col("n") >= PATTERN_LEAST) & (F.col("n") >= PATTERN_SHARE * F.col("all")))
     known = frozenset(r[0] for r in strong.select("pattern").collect())  # at most 1 / PATTERN_SHARE patterns
+    ends = frozenset(p.split(" ")[-1 if p[0] == "L" else 1] for p in known)
     labels, shapes = bootstrap(ev.filter("what = 'number'").select("pattern", "instance", "n"), docs.sparkSession.createDataFrame([(x,) for x in SEED_SHAPES], "instance string"), rounds=2 * ROUNDS, smooth=0.0)
 
     def find(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,7 +287,7 @@ def personal_information(docs: DataFrame) -> DataFrame:
                 out += [(doc, kind, i, j, "", "", "", "") for i, j, kind in taken]
                 nums = numbers(text, taken)
                 out += [(doc, "id_number", i, j, "number", sh, "", lab) for i, j, lab, sh in nums]
-                for i, j, form, f, la, left, right in name_candidates(text, taken, known):
+                for i, j, form, f, la, left, right in name_candidates(text, taken, known, ends):
                     near = "L " + left in known or "R " + right in known
                     out.append((doc, "name", i, j, form, la, f, "near" if near else ""))
             yield pd.DataFrame(out, columns=["doc_id", "kind", "start_pos", "end_pos", "form", "instance", "first", "pattern"])
