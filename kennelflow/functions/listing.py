@@ -27,10 +27,6 @@ def first_case(*rules: tuple[Column, object], otherwise: object = None) -> Colum
     return out.otherwise(otherwise)
 
 
-def _group(c: Column, rx: str, k: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(c, rx, k), F.lit(""))
-
-
 def age_bucket(months: Column) -> Column:
     return F.when(months.isNull(), None).when(months < 12, "puppy").when(months < 36, "young").when(months < 96, "adult").otherwise("senior")
 
@@ -42,17 +38,19 @@ def months_between_dates(since: Column, at: Column) -> Column:
 
 def loose_date(c: Column) -> Column:
     """y-m-d, m/d/y and 'Mon d, y' as a date; days beyond the month's end roll over; years 1990 to 2100."""
-    t = squish(c)
-    iso, us = r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})"
-    named = r"(?i)^([a-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})"
     months = F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
-    mon = F.array_position(months, F.lower(F.regexp_extract(t, named, 1)))
-    pick = lambda a, b, d: F.coalesce(_group(t, *a).try_cast("int"), _group(t, *b).try_cast("int"), d)
-    y = pick((iso, 1), (us, 3), _group(t, named, 3).try_cast("int"))
-    m = pick((iso, 2), (us, 1), F.nullif(mon, F.lit(0)).cast("int"))
-    d = pick((iso, 3), (us, 2), _group(t, named, 2).try_cast("int"))
-    ok = y.between(1990, 2100) & m.between(1, 12) & d.between(1, 31)
-    return F.when(ok, F.date_add(F.make_date(F.when(ok, y), F.when(ok, m), F.lit(1)), d - 1))
+    t = F.regexp_replace(squish(c), r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4}).*$", "$3-$1-$2")
+    t = F.regexp_replace(t, r"(?i)^([a-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4}).*$", "$3-$1-$2")
+    parts = F.split(F.regexp_extract(t, r"^\d{4}-(?:\d{1,2}|[A-Za-z]{3})-\d{1,2}", 0), "-")
+
+    def date(y: Column, m: Column, d: Column) -> Column:
+        ok = y.between(1990, 2100) & m.between(1, 12) & d.between(1, 31)
+        return F.when(ok, F.date_add(F.make_date(F.when(ok, y), F.when(ok, m), F.lit(1)), d - 1))
+
+    # each step is bound by a lambda, so that its code is made once
+    number = lambda p, k: F.get(p, F.lit(k)).try_cast("int")
+    ymd = F.transform(F.array(parts), lambda p: F.struct(number(p, 0).alias("y"), F.coalesce(number(p, 1), F.array_position(months, F.lower(F.get(p, F.lit(1)))).cast("int")).alias("m"), number(p, 2).alias("d")))
+    return F.get(F.transform(ymd, lambda s: date(s["y"], s["m"], s["d"])), F.lit(0))
 
 
 def sex_of(c: Column) -> Column:
