@@ -56,16 +56,14 @@ def merge_details(old: dict[str, Column], new: dict[str, Column], card_only: Col
 def missed_runs(seen: DataFrame, runs: DataFrame, scope: Sequence[str]) -> DataFrame:
     """seen: scope, key, last_seen_at; runs: scope, ran_at (conclusive) -> missed and missing_since.
 
-    Runs are ranked in their scope, so the count of those after a record's last sight is a difference of
-    two ranks: one as-of look-up by sort, no join of every record with every run.
+    The runs of a scope become one sorted list, as long as there are days of history, so each record meets
+    one row; records are neither ordered nor gathered by scope, which may hold a third of them.
     """
-    ranked = runs.select(*scope, "ran_at").distinct()
-    both = seen.select(*scope, F.col("last_seen_at").alias("_at"), F.lit(1).alias("_kind"), F.struct(*[c for c in seen.columns]).alias("_row")).unionByName(
-        ranked.select(*scope, F.col("ran_at").alias("_at"), F.lit(0).alias("_kind")), allowMissingColumns=True
-    )
-    back = Window.partitionBy(*scope).orderBy(F.desc("_at"), F.desc("_kind"))
-    after = both.withColumns({"missed": F.sum(F.when(F.col("_kind") == 0, 1).otherwise(0)).over(back.rowsBetween(Window.unboundedPreceding, -1)), "missing_since": F.last(F.when(F.col("_kind") == 0, F.col("_at")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
-    return after.filter("_kind = 1").select("_row.*", F.coalesce("missed", F.lit(0)).cast("int").alias("missed"), "missing_since")
+    lists = runs.filter("ran_at is not null").groupBy(*scope).agg(F.sort_array(F.collect_set("ran_at")).alias("_ran"))
+    j = seen.join(lists, list(scope), "left")
+    j = j.withColumn("_after", F.filter("_ran", lambda r: r > F.col("last_seen_at")))
+    missed = F.when(F.col("_after").isNull(), 0).otherwise(F.size("_after"))
+    return j.select(*[F.col(c) for c in seen.columns], missed.cast("int").alias("missed"), F.get("_after", F.lit(0)).alias("missing_since"))
 
 
 def stale_status(missed: Column, first_time: Column) -> Column:
