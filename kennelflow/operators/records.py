@@ -40,11 +40,11 @@ def delete_keys(stored: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataF
 
 def classify_changes(stored: DataFrame, incoming: DataFrame, key: Sequence[str], content: Sequence[str]) -> DataFrame:
     """key, outcome: inserted, updated, unchanged or missing, by comparing the content of both sides."""
-    digest = F.xxhash64(*content)
-    a = stored.select(*key, digest.alias("_h"), F.lit(True).alias("_a"))
-    b = incoming.select(*key, digest.alias("_g"), F.lit(True).alias("_b"))
+    whole = F.struct(*content)
+    a = stored.select(*key, whole.alias("_h"), F.lit(True).alias("_a"))
+    b = incoming.select(*key, whole.alias("_g"), F.lit(True).alias("_b"))
     j = a.join(b, list(key), "full_outer")
-    outcome = F.when(F.col("_a").isNull(), "inserted").when(F.col("_b").isNull(), "missing").when(F.col("_h") == F.col("_g"), "unchanged").otherwise("updated")
+    outcome = F.when(F.col("_a").isNull(), "inserted").when(F.col("_b").isNull(), "missing").when(F.col("_h").eqNullSafe(F.col("_g")), "unchanged").otherwise("updated")
     return j.select(*key, outcome.alias("outcome"))
 
 
