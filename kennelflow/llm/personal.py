@@ -184,7 +184,7 @@ def name_candidates(text: str, taken: list[tuple[int, int, str]], patterns: froz
                 while low + 1 < len(toks) and toks[low][2] in _PARTICLE and text[toks[low][1] : toks[low + 1][0]] in (" ", "  "):
                     low += 1
                 last = toks[low][2]
-                if (last[0].isupper() or "-" in last and last.split("-")[-1][:1].isupper()) and len(last) > 2 and (len(w) > 1 or gap.startswith(".")) and w.lower() not in _STOP and not org(low):
+                if (last[0].isupper() or "-" in last and last.split("-")[-1][:1].isupper()) and len(last) > 2 and (w.lower() not in _STOP if len(w) > 1 else gap.startswith(".")) and not org(low):
                     add("pair", k, low, w if len(w) > 1 else "", last)
         elif cap and gap in (", ", ",") and other[0].isupper() and len(w) > 2 and len(other) > 2:
             add("turned", k, nxt, other, w)
