@@ -10,22 +10,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-INPUT = ("name", "breed_normalized", "breed_raw", "age_months_estimate", "weight_lbs_estimate", "size_raw", "status_normalized", "primary_photo_url", "first_seen_at", "description")
+from kennelflow.functions.listing import haversine_miles
+from kennelflow.operators.nearness import usable
+
+INPUT = ("name", "breed_normalized", "breed_raw", "age_months_estimate", "weight_lbs_estimate", "size_raw", "status_normalized", "primary_photo_url", "first_seen_at", "description", "latitude", "longitude")
 CRITERIA = "struct<breedIncludes:array<string>,sizes:array<string>,excludePuppies:boolean,maxWeightLbs:double,keywords:array<string>,maxDistanceMiles:double>"
 #: Standing searches up to which they are broadcast; more are spread by an exchange.
 BROADCAST_CRITERIA = 10_000
 
 
 def parse_criteria(watches: DataFrame) -> DataFrame:
-    """id, parsed (JSON) -> watch_id, c. What has a wrong type is dropped; a null or cut text asks for nothing."""
-    return watches.select(F.col("id").alias("watch_id"), F.from_json("parsed", CRITERIA, {"mode": "PERMISSIVE"}).alias("c"))
+    """id, parsed (JSON), latitude, longitude -> watch_id, c, from_lat, from_lon (null where the position is not usable).
+
+    What has a wrong type is dropped; a null or cut text asks for nothing.
+    """
+    here = usable(F.col("latitude"), F.col("longitude"))
+    return watches.select(F.col("id").alias("watch_id"), F.from_json("parsed", CRITERIA, {"mode": "PERMISSIVE"}).alias("c"), F.when(here, F.col("latitude")).alias("from_lat"), F.when(here, F.col("longitude")).alias("from_lon"))
 
 
 def match_input(rows: DataFrame) -> DataFrame:
     text = F.lower(F.concat_ws(" ", "breed_normalized", "breed_raw"))
+    here = usable(F.col("latitude"), F.col("longitude"))
     return rows.select(
         "id", "name", text.alias("breed"), F.col("age_months_estimate").alias("months"), F.col("weight_lbs_estimate").alias("lbs"), F.lower("size_raw").alias("size"),
         (F.col("status_normalized") == "available").alias("available"), F.col("primary_photo_url").isNotNull().alias("photo"), "first_seen_at", F.lower(F.concat_ws(" ", "name", "breed_raw", "description")).alias("hay"), F.col("description").isNotNull().alias("bio"),
+        F.when(here, F.col("latitude")).alias("lat"), F.when(here, F.col("longitude")).alias("lon"),
     )
 
 
@@ -35,15 +44,21 @@ def verdict(asked: Column, known: Column, holds: Column) -> Column:
 
 
 def match_all(rows: DataFrame, criteria: DataFrame) -> DataFrame:
-    """Every matching (watch, row) with reasons, unknowns and a score."""
+    """Every matching (watch, row) with reasons, unknowns, a score and the miles between them.
+
+    A radius is asked for where the watch has a usable position; a row without one is unknown, not far.
+    """
     n = criteria.limit(BROADCAST_CRITERIA + 1).count()
     small = F.broadcast(criteria) if n <= BROADCAST_CRITERIA else criteria
     asks = lambda f: F.coalesce(F.size(F.col(f"c.{f}")) > 0, F.lit(False))
+    miles = haversine_miles(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon"))
+    radius = F.col("c.maxDistanceMiles")
     tests = {
         "breed": verdict(asks("breedIncludes"), F.col("breed") != "", F.exists("c.breedIncludes", lambda b: F.contains(F.col("breed"), F.lower(b)))),
         "age": verdict(F.coalesce(F.col("c.excludePuppies"), F.lit(False)), F.col("months").isNotNull(), F.col("months") >= 12),
         "weight": verdict(F.col("c.maxWeightLbs").isNotNull(), F.col("lbs").isNotNull(), F.col("lbs") <= F.col("c.maxWeightLbs")),
         "size": verdict(asks("sizes"), F.col("size").isNotNull(), F.array_contains("c.sizes", F.col("size"))),
+        "distance": verdict(radius.isNotNull() & F.col("from_lat").isNotNull(), F.col("lat").isNotNull(), miles <= radius),
     }
     # a join on what may not fail: nothing that fails leaves the join
     passes = F.lit(True)
@@ -53,11 +68,11 @@ def match_all(rows: DataFrame, criteria: DataFrame) -> DataFrame:
     pick = lambda v: F.filter(F.array(*[F.when(t == v, F.lit(k)) for k, t in tests.items()]), lambda x: x.isNotNull())
     hits = F.coalesce(F.size(F.filter("c.keywords", lambda k: F.contains(F.col("hay"), F.lower(k)))), F.lit(0))
     hits = F.when(hits > 0, hits).otherwise(0)
-    out = j.withColumns({"reasons": pick("r"), "unknowns": pick("u"), "rich": F.col("photo").cast("int") + F.col("bio").cast("int")})
+    out = j.withColumns({"reasons": pick("r"), "unknowns": pick("u"), "rich": F.col("photo").cast("int") + F.col("bio").cast("int"), "miles": miles})
     score = F.size("reasons") + hits + F.when(F.col("available"), 0.5).otherwise(0.0)
-    return out.withColumn("score", score.cast("double")).select("watch_id", "id", "name", "reasons", "unknowns", "score", "rich", "photo", "first_seen_at")
+    return out.withColumn("score", score.cast("double")).select("watch_id", "id", "name", "reasons", "unknowns", "score", "miles", "rich", "photo", "first_seen_at")
 
 
 def ranking() -> list[Column]:
-    """Score, then richness, then name, ending in the id, so that no two rows tie."""
-    return [F.desc("score"), F.desc("rich"), F.asc_nulls_first("name"), F.asc("id")]
+    """Score, then nearness (unknown last), richness, name, ending in the id, so that no two rows tie."""
+    return [F.desc("score"), F.asc_nulls_last("miles"), F.desc("rich"), F.asc_nulls_first("name"), F.asc("id")]
