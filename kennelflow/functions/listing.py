@@ -15,6 +15,46 @@ from kennelflow.functions.text import clean_text, squish
 EARTH_MI = 3958.7613
 DAYS_A_MONTH = 30.44
 
+#: Shelters' short forms of breeds.
+BREED_ALIASES = {
+    "germ shepherd": "german shepherd",
+    "german shepherd dog": "german shepherd",
+    "gsd": "german shepherd",
+    "belg malinois": "belgian malinois",
+    "pit bull terrier": "pit bull",
+    "pit bull ter": "pit bull",
+    "am pit bull ter": "pit bull",
+    "american pit bull terrier": "pit bull",
+    "staffordshire bull terrier": "staffordshire terrier",
+    "am staff": "staffordshire terrier",
+    "amer staff": "staffordshire terrier",
+    "chihuahua sh": "chihuahua",
+    "chihuahua lh": "chihuahua",
+    "chihuahua smooth coat": "chihuahua",
+    "chihuahua long coat": "chihuahua",
+    "dachshund smooth": "dachshund",
+    "doxie": "dachshund",
+    "lab retriever": "labrador retriever",
+    "labrador": "labrador retriever",
+    "labrador retr": "labrador retriever",
+    "golden retr": "golden retriever",
+    "aust shepherd": "australian shepherd",
+    "aust cattle dog": "australian cattle dog",
+    "queensland heeler": "australian cattle dog",
+    "heeler": "australian cattle dog",
+    "jack russ terrier": "jack russell terrier",
+    "yorkshire terr": "yorkshire terrier",
+    "yorkie": "yorkshire terrier",
+    "poodle min": "miniature poodle",
+    "poodle toy": "toy poodle",
+    "poodle stnd": "standard poodle",
+    "alask husky": "husky",
+    "siberian husky": "husky",
+    "catahoula leopard dog": "catahoula",
+    "cane corso mastiff": "cane corso",
+    "st bernard": "saint bernard",
+}
+
 
 def half_up(c: Column, k: float = 1) -> Column:
     """floor(x * k + 0.5) / k."""
@@ -82,6 +122,16 @@ def placeholder_name(c: Column) -> Column:
     return c.isNull() | (F.length(t) < 2) | t.rlike(r"^[a-z]?\d+$|^[a-z]{1,4}-a-\d+$") | t.isin("unknown", "no name", "none", "n/a", "tbd", "unnamed", "puppy", "dog", "stray", "not named")
 
 
+def breed_tokens(c: Column) -> Column:
+    """'Lab Retriever / GSD mix' -> ['labrador retriever', 'german shepherd']; what names no breed but a mix is 'mixed breed'."""
+    t = F.coalesce(F.lower(squish(c)), F.lit(""))
+    parts = F.regexp_replace(F.regexp_replace(t, r"\bmix(?:ed)?(?: breed)?\b", ""), r"\bcross\b|\s+and\s+|&", "/")
+    short = F.create_map(*[F.lit(x) for pair in BREED_ALIASES.items() for x in pair])
+    named = F.filter(F.transform(F.split(parts, "[/,]"), squish), lambda p: p != "")
+    named = F.array_distinct(F.transform(named, lambda p: F.coalesce(F.element_at(short, p), p)))
+    return F.when(t.isin("unknown", "mixed", "mixed breed", "mix"), F.array(F.lit("mixed breed"))).otherwise(named)
+
+
 def yes_no(c: Column) -> Column:
     t = F.lower(squish(c))
     return first_case((t.rlike("^(?:yes|y|true|1)"), True), (t.rlike("^(?:no|n|false|0)"), False))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kennelflow.functions import listing as X
-from kennelflow.io import latest_rows, table
+from kennelflow.io import cut_lineage, latest_rows, table
+from kennelflow.operators import entities as E
 from kennelflow.operators import matching as Q
 from kennelflow.operators import records as R
 
@@ -320,6 +321,21 @@ def _(s, d):
     return R.connected_components(e.select("a", "b"))
 
 
+@query("listing_components")
+def _(s, d):
+    """Every listing with the least listing of its dog: shared photos and the rules for equal names."""
+    t = listings(s, d, "source_id", "name", "sex", "breed_raw", "breed_normalized", "age_months_estimate", "primary_photo_url")
+    name = X.title_name(F.col("name"))
+    placeholder = X.placeholder_name(name) | F.lower(name).isin("noname", "pup", "pending")
+    rows = t.select(
+        "id", F.col("source_id").alias("source"), F.lower(name).alias("name"), placeholder.alias("placeholder"), F.lower(F.trim("sex")).alias("sex"),
+        X.breed_tokens(F.coalesce("breed_raw", "breed_normalized")).alias("tokens"), F.col("age_months_estimate").alias("age"), F.col("primary_photo_url").alias("photo"),
+    )
+    rows = cut_lineage(rows)
+    c = R.connected_components(E.photo_edges(rows).union(E.name_edges(rows)))
+    return rows.select("id").join(c.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 # criteria matching and ranked search
 
 
