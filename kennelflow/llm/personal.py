@@ -17,7 +17,8 @@ All counts run over all documents. Texts are read whole. Positions are in code p
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,8 +29,11 @@ from kennelflow.io import cut_lineage
 ROUNDS = 5
 #: Scores from which an instance, an instance alone, a first name, a pattern and a number count.
 GOOD_NAME, SURE_NAME, GOOD_FIRST, GOOD_PATTERN, GOOD_NUMBER = 0.32, 0.36, 0.25, 0.6, 0.5
-#: Patterns sent to the workers: each holds at least this share of all candidates, so they are at most its inverse.
-PATTERN_SHARE, PATTERN_LEAST = 1e-4, 3
+#: Times that a good pattern occurs at least, in a corpus of any size.
+PATTERN_LEAST = 3
+#: Slots of the map of good patterns that is sent to the workers. It only spares candidates whose contexts are surely
+#: no good pattern; the good patterns themselves, as many as there are, are joined.
+SLOTS = 1 << 18
 
 _AT, _DOT = r"(?:\s?@\s?|\s?\(at\)\s?|\s?\[at\]\s?|\s?\{at\}\s?)", r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\sdot\s)"
 EMAIL = re.compile(
@@ -144,12 +148,11 @@ def _words(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int,
     return out
 
 
-def name_candidates(text: str, taken: list[tuple[int, int, str]], patterns: frozenset[str] | None = None, ends: frozenset[str] = frozenset()) -> list[tuple[int, int, str, str, str, str, str]]:
+def name_candidates(text: str, taken: list[tuple[int, int, str]], beside: Callable[[str], bool] | None = None) -> list[tuple[int, int, str, str, str, str, str]]:
     """(start, end, form, first, last, left, right) of word pairs that could be a person's name.
 
     Forms: ``pair`` (first or initial, last), ``title`` (title, last), ``turned`` (last, first) and ``lower``
-    (a pair without capitals, only beside one of ``patterns``; ``ends`` holds the pattern words that touch
-    it). Words touching a span are no candidates.
+    (a pair without capitals, only where ``beside`` holds for the pattern on its left or right). Words touching a span are no candidates.
     """
     toks = _words(text, taken)
     titled = {m.end() for m in _TITLE.finditer(text)}
@@ -163,16 +166,12 @@ def name_candidates(text: str, taken: list[tuple[int, int, str]], patterns: froz
         left = _words_before(text, toks[a][0], 2)
         out.append((toks[a][0], toks[b][1], form, first.lower(), family(last), left, _words_after(text, toks[b][1], 2)))
 
-    def touches(i: int, j: int) -> bool:
-        before, after = text[max(0, i - 24) : i].rstrip(" "), text[j : j + 24].lstrip(" ")
-        return not before or not after or before[-1:] in "\n>.!?" or any(x in ends for x in (before[-1:], after[:1], before.rsplit(" ", 1)[-1].lower(), re.split(r"\W", after, maxsplit=1)[0].lower()))
-
     for k, (i, j, w) in enumerate(toks):
         cap = w[0].isupper()
         if cap and i in titled and len(w) > 2 and not org(k):
             add("title", k, k, "", w)
         nxt = k + 1
-        if nxt >= len(toks) or not cap and patterns is None:
+        if nxt >= len(toks) or not cap and beside is None:
             continue
         gap, other = text[j : toks[nxt][0]], toks[nxt][2]
         if cap and _blank(gap):
@@ -188,9 +187,9 @@ def name_candidates(text: str, taken: list[tuple[int, int, str]], patterns: froz
                     add("pair", k, low, w if len(w) > 1 else "", last)
         elif cap and gap in (", ", ",") and other[0].isupper() and len(w) > 2 and len(other) > 2:
             add("turned", k, nxt, other, w)
-        elif not cap and len(other) > 3 and gap.isspace() and w.islower() and other.islower() and w not in _STOP and touches(i, toks[nxt][1]):
+        elif not cap and len(other) > 3 and gap.isspace() and w.islower() and other.islower() and w not in _STOP:
             left, right = _words_before(text, i, 2), _words_after(text, toks[nxt][1], 2)
-            if "L " + left in patterns or "R " + right in patterns:
+            if beside("L " + left) or beside("R " + right):
                 add("lower", k, nxt, w, other)
     return out
 
@@ -273,10 +272,15 @@ def personal_information(docs: DataFrame) -> DataFrame:
     last = cut_lineage(last)
     first = names.filter("pattern like 'L %' and first <> ''").join(last.select("instance", "score"), "instance").groupBy("first").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 0.5)).alias("first_score"))
     first = cut_lineage(first)
-    all_n = names.agg(F.sum("n").alias("all"))
-    strong = pats.join(F.broadcast(all_n)).filter((F.col("score") >= GOOD_PATTERN) & (F.col("n") >= PATTERN_LEAST) & (F.col("n") >= PATTERN_SHARE * F.col("all")))
-    known = frozenset(r[0] for r in strong.select("pattern").collect())  # at most 1 / PATTERN_SHARE patterns
-    ends = frozenset(p.split(" ")[-1 if p[0] == "L" else 1] for p in known)
+    strong = cut_lineage(pats.filter((F.col("score") >= GOOD_PATTERN) & (F.col("n") >= PATTERN_LEAST)).select("pattern"))
+    slots = bytearray(SLOTS)
+    for r in strong.select((F.crc32(F.col("pattern").cast("binary")) % SLOTS).alias("slot")).distinct().collect():  # at most SLOTS
+        slots[r.slot] = 1
+    slots = bytes(slots)
+
+    def beside(pattern: str) -> bool:
+        return slots[crc32(pattern.encode()) % SLOTS] == 1
+
     labels, shapes = bootstrap(ev.filter("what = 'number'").select("pattern", "instance", "n"), docs.sparkSession.createDataFrame([(x,) for x in SEED_SHAPES], "instance string"), rounds=2 * ROUNDS, smooth=0.0)
 
     def find(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,26 +288,28 @@ def personal_information(docs: DataFrame) -> DataFrame:
             out = []
             for doc, text in zip(b.doc_id, b.text):
                 taken = spans(text)
-                out += [(doc, kind, i, j, "", "", "", "") for i, j, kind in taken]
+                out += [(doc, kind, i, j, "", "", "", "", None) for i, j, kind in taken]
                 nums = numbers(text, taken)
-                out += [(doc, "id_number", i, j, "number", sh, "", lab) for i, j, lab, sh in nums]
-                for i, j, form, f, la, left, right in name_candidates(text, taken, known, ends):
-                    near = "L " + left in known or "R " + right in known
-                    out.append((doc, "name", i, j, form, la, f, "near" if near else ""))
-            yield pd.DataFrame(out, columns=["doc_id", "kind", "start_pos", "end_pos", "form", "instance", "first", "pattern"])
+                out += [(doc, "id_number", i, j, "number", sh, "", lab, None) for i, j, lab, sh in nums]
+                for i, j, form, f, la, left, right in name_candidates(text, taken, beside):
+                    out.append((doc, "name", i, j, form, la, f, *[p if beside(p) else None for p in ("L " + left, "R " + right)]))
+            yield pd.DataFrame(out, columns=["doc_id", "kind", "start_pos", "end_pos", "form", "instance", "first", "pattern", "right"])
 
-    schema = docs.select("doc_id", F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("start_pos"), F.lit(0).cast("bigint").alias("end_pos"), F.lit("").alias("form"), F.lit("").alias("instance"), F.lit("").alias("first"), F.lit("").alias("pattern")).schema
+    schema = docs.select("doc_id", F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("start_pos"), F.lit(0).cast("bigint").alias("end_pos"), F.lit("").alias("form"), F.lit("").alias("instance"), F.lit("").alias("first"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("right")).schema
     cand = cut_lineage(docs.mapInPandas(find, schema))
     plain = cand.filter("form = ''")
     num = cand.filter("form = 'number'").join(labels.withColumnRenamed("score", "label_score").drop("n"), "pattern").join(shapes.withColumnRenamed("score", "shape_score").drop("n"), "instance")
     num = num.filter((F.col("label_score") >= GOOD_NUMBER) & (F.col("shape_score") >= GOOD_NUMBER))
     nam = cand.filter("kind = 'name'").join(last.select("instance", "score"), "instance").join(first, "first", "left")
+    held = strong.select("pattern", F.lit(True).alias("on_left")), strong.select(F.col("pattern").alias("right"), F.lit(True).alias("on_right"))
+    nam = nam.join(held[0], "pattern", "left").join(held[1], "right", "left")
     fs = F.coalesce("first_score", F.lit(0.0))
     good, sure = F.col("score") >= GOOD_NAME, F.col("score") >= SURE_NAME
-    near = F.col("pattern") == "near"
+    near = F.coalesce("on_left", "on_right", F.lit(False))
     keep = (
         F.when(F.col("form") == "title", good | (near & (F.col("score") >= GOOD_NAME / 2)))
         .when(F.col("form") == "pair", good & (sure | near | (F.col("first") == "") | (fs >= GOOD_FIRST)))
+        .when((F.col("form") == "lower") & ~near, False)
         .otherwise(good & ((sure & near) | (fs >= GOOD_FIRST)))
     )
     # of overlapping names the pair counts before the lower-case one, the titled and the turned one
