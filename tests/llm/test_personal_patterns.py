@@ -17,3 +17,9 @@ def test_a_rare_pattern_counts_in_a_large_corpus(spark):
     noise = ["there is a Blue Chair in it, " * 2000] * 12
     names = found_names(spark, [*taught("by warden"), "kept by warden maria lopez today", *noise])
     assert "maria lopez" in names and "Blue Chair" not in names
+
+
+def test_a_pattern_beside_a_number_counts_in_lower_case(spark):
+    # other words follow each name, so that only the number before it can tell
+    texts = [t.replace(" today. Mail", f" {w}. Mail") for t, w in zip(taught("in room 12"), ("once", "twice", "never", "later"))]
+    assert "maria lopez" in found_names(spark, [*texts, "kept in room 14 maria lopez yonder"])
