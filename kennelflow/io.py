@@ -8,16 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PREFIX = "kennelflow-"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where it names none (tests)."""
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    Only a session inside one process (tests) may leave it unset and gets a temporary one; on a cluster that raises.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="kennelflow-")
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix=PREFIX)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -26,11 +34,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     It is computed once (``checkpoint()`` would compute it twice), and no later stage depends on the
-    shuffle files of an executor that may be lost.
+    shuffle files of an executor that may be lost. ``release`` deletes it.
     """
-    path = f"{shared_dir(df.sparkSession)}/kennelflow-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{PREFIX}{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def release(*kept: DataFrame | None) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more."""
+    for df in kept:
+        if path := getattr(df, "_kept_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table that ``cut_lineage`` left in the shared folder, once no result is read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(at) if fs.exists(at) else ():
+        if f.getPath().getName().startswith(PREFIX):
+            fs.delete(f.getPath(), True)
 
 
 def latest_rows(df: DataFrame, key: str, version: str, cols: list[str]) -> DataFrame:
