@@ -1,39 +1,52 @@
 """Personal information inside free text: found, typed and replaced by placeholders.
 
-Emails, phone numbers and street addresses have a form of their own and are found by grammar. Names and
-identity numbers have not; they are found by bootstrapped contextual extraction:
-
-* candidates are pairs of words that could be a name, and digit groups that could be a number, each with
-  the words to its left and right as lexical patterns;
-* seeds are words that occur in email addresses (names) and numbers of a few well-known shapes (identity
-  numbers);
-* the graph of patterns and instances is scored in rounds of two aggregations: a pattern is as good as the
-  instances that it holds, an instance as the patterns that hold it;
-* the good instances and patterns then discover the values that no seed named, in any letter case.
-
-All counts run over all documents. Texts are read whole. Positions are in code points of the text as stored.
+Bootstrapped contextual extraction. One reading of the texts gives candidates of every kind, each with the
+features that stand for it in the pattern-instance graph:
+
+* names: word pairs, titled and turned forms, with the words to the left and right, the first and the family name;
+* identity numbers and phone numbers: digit groups with their label and their shape;
+* addresses and emails: forms of a house number and capital words, or with an at-sign, with the words beside them.
+
+Seeds are what has a form of its own: emails, phone numbers and addresses that a grammar reads, identity numbers of
+a few well-known shapes, and names whose words occur in email addresses. Seeds induce patterns: in every round a
+feature is as good as the candidates that have it, beyond what is usual in its kind, and a candidate as its features
+together. Good features then discover values that no seed named, in any letter case, among them phone numbers,
+addresses and emails that the grammar doesn't know.
+
+A feature's share is drawn to the usual one by ``PRIOR`` candidates' worth, so that what is seen once says little in a
+corpus of any size; there is no other threshold on counts. A candidate's own part is taken out of what its features
+say. Copies of a name in the same words count once. All counts run over all documents; texts are read whole.
+Positions are in code points of the text as stored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kennelflow.io import cut_lineage
-
-ROUNDS = 5
-#: Scores from which an instance, an instance alone, a first name, a pattern and a number count.
-GOOD_NAME, SURE_NAME, GOOD_FIRST, GOOD_PATTERN, GOOD_NUMBER = 0.32, 0.36, 0.25, 0.6, 0.5
-#: Times that a good pattern occurs at least, in a corpus of any size.
-PATTERN_LEAST = 3
-#: Slots of the map of good patterns that is sent to the workers. It only spares candidates whose contexts are surely
-#: no good pattern; the good patterns themselves, as many as there are, are joined.
-SLOTS = 1 << 18
+from kennelflow.io import cut_lineage, release
+
+ROUNDS = 6
+#: Candidates of the usual share that each feature is taken to have besides its own.
+PRIOR = 0.5
+#: Greatest evidence (log odds) of one feature; that of a seed in all rounds but the last two.
+MOST, SEED = 4.0, 0.9
+#: Share of seeds that is taken to be usual at most: where nearly all candidates are seeds, the others are none for that.
+MOST_USUAL = 0.3
+#: Probability from which a candidate counts: of names and identity numbers, and of what only patterns name.
+GOOD, SURE = 0.5, 0.9
+#: Evidence of a feature that stands on its own, and of a family name that can't be one.
+CLEAR, AGAINST = 1.0, -1.0
+#: Slots of the map of family names that is sent to the workers. It only spares texts that surely hold none of them in
+#: lower case; the names themselves, as many as there are, are joined.
+SLOTS = 1 << 20
+_BUCKET = 1 << 15  # bits in one bitmap of bitmap_construct_agg
 
 _AT, _DOT = r"(?:\s?@\s?|\s?\(at\)\s?|\s?\[at\]\s?|\s?\{at\}\s?)", r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\sdot\s)"
 EMAIL = re.compile(
@@ -66,15 +79,39 @@ SEED_SHAPES = ("999-99-9999", "99999999A", "A9999999A", "AA999999A")
 _TITLE = re.compile(r"(?<![\w])(?:mr|mrs|ms|mx|miss|dr|sra?|srta|mme|mlle|prof|don|doña|señora?|monsieur|madame)\.?\s+(?=\S)", re.I)
 # Words that make a name that of an organisation.
 _ORG = set("foundation group clinic services service supply county veterinary animal pet rescue society hospital shelter center centre inc llc ltd co company league haven association club department control humane fund trust store school church council partners".split())
+_CAPITAL = re.compile(r"(?<!\w)[^\W\d_a-zß-öø-ÿ](?:[^\W\d_]|['’](?=[^\W\d_]))*(?:-[^\W\d_]+(?:['’][^\W\d_]+)?)*")
 _TOKEN = re.compile(r"(?<!\w)[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]))*(?:-[^\W\d_]+(?:['’][^\W\d_]+)?)*")
 _PARTICLE = set("de da do dos van von der den la le di del della el al bin ibn y st san".split())
 _STOP = set("the a an and or of to in on at for with from by is was are be i we you he she it they this that these those my our your his her its no not but if then so as please ask call contact signed applicant adopter landlord name family el la los las un una y de del le les des du et".split())
 _LOCAL_STOP = set("dogs info adopt adoption adoptions foster contact hello office mail rescue shelter help team admin test example".split())
 
 
+_GAP = re.compile(r"(\.?)([^\S\n]{1,3})(?!\s)")
+_COMMA = re.compile(r", ?(?!\s)")
+_NEXT = re.compile(r"\s+([^\W\d_]+)")
+# What may be an address or an email although the grammar doesn't know it.
+_LOOSE_ADDRESS = re.compile(r"(?<![\w#/.,:-])\d{1,6}[A-Z]?[^\S\n](?:[A-Z][\w'’]*[^\S\n]){1,2}([A-Z][\w'’]+)")
+_LOOSE_EMAIL = re.compile(r"(?<![\w.@])[A-Za-z0-9][\w.+-]*\s?@\s?[A-Za-z][\w-]*(?:\s?\.\s?[\w-]+)*")
+
+
+class Taken:
+    """Disjoint spans in order; ``free`` tells whether a span touches none of them."""
+
+    def __init__(self, spans: list[tuple] = ()) -> None:
+        self.spans: list[tuple[int, int]] = sorted((s[0], s[1]) for s in spans)
+
+    def free(self, i: int, j: int) -> bool:
+        k = bisect_left(self.spans, (i, i))
+        return (k == len(self.spans) or self.spans[k][0] >= j) and (k == 0 or self.spans[k - 1][1] <= i)
+
+    def add(self, i: int, j: int) -> None:
+        insort(self.spans, (i, j))
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of emails, phone numbers and addresses; of overlapping ones the first kind counts."""
     out: list[tuple[int, int, str]] = []
+    taken = Taken()
     low = text.lower()
     rules = [("email", EMAIL)] if any(x in low for x in _EMAIL_SIGNS) else []
     digits = sum(map(text.count, "0123456789"))
@@ -87,7 +124,8 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             i, j = m.span()
             while i < j and not text[i].isalnum():
                 i += 1
-            if all(j <= a or i >= b for a, b, _ in out):
+            if taken.free(i, j):
+                taken.add(i, j)
                 out.append((i, j, kind))
     return out
 
@@ -120,77 +158,87 @@ def shape(s: str) -> str:
     return re.sub(r"\s+", " ", s)
 
 
-def numbers(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:
+def numbers(text: str, taken: Taken) -> list[tuple[int, int, str, str]]:
     """(start, end, label, shape) of digit groups outside the spans found by grammar."""
-    out = []
-    for m in NUMBER.finditer(text):
-        i, j = m.span()
-        if all(j <= a or i >= b for a, b, _ in taken):
-            out.append((i, j, label(text, i), shape(m[0])))
-    return out
+    return [(m.start(), m.end(), label(text, m.start()), shape(m[0])) for m in NUMBER.finditer(text) if taken.free(*m.span())]
 
 
-def _blank(gap: str) -> bool:
-    """One to three blanks on one line, perhaps after a full stop."""
-    g = gap[1:] if gap[:1] == "." else gap
-    return 0 < len(g) <= 3 and g.isspace() and "\n" not in g
+def _following(text: str, j: int, taken: Taken) -> tuple[str, re.Match] | None:
+    """The word after one to three blanks on the line, perhaps after a full stop, with what lies between."""
+    if g := _GAP.match(text, j):
+        t = _TOKEN.match(text, g.end())
+        if t and taken.free(*t.span()):
+            return g[0], t
+    return None
 
 
-def _words(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The words outside the spans, in order."""
-    out, ends, k = [], sorted(taken), 0
-    for m in _TOKEN.finditer(text):
-        i, j = m.span()
-        while k < len(ends) and ends[k][1] <= i:
-            k += 1
-        if k == len(ends) or j <= ends[k][0]:
-            out.append((i, j, m[0]))
-    return out
+def _organisation(text: str, j: int) -> bool:
+    m = _NEXT.match(text, j)
+    return bool(m) and m[1][:1].isupper() and m[1].lower() in _ORG
 
 
-def name_candidates(text: str, taken: list[tuple[int, int, str]], beside: Callable[[str], bool] | None = None) -> list[tuple[int, int, str, str, str, str, str]]:
-    """(start, end, form, first, last, left, right) of word pairs that could be a person's name.
+def name_candidates(text: str, taken: Taken) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, form, first, family name) of capital words that could be a person's name.
 
-    Forms: ``pair`` (first or initial, last), ``title`` (title, last), ``turned`` (last, first) and ``lower``
-    (a pair without capitals, only where ``beside`` holds for the pattern on its left or right). Words touching a span are no candidates.
+    Forms: ``pair`` (first or initial, last), ``title`` (title, last) and ``turned`` (last, first). Words touching a span are no candidates.
     """
-    toks = _words(text, taken)
     titled = {m.end() for m in _TITLE.finditer(text)}
     out = []
+    for m in _CAPITAL.finditer(text):
+        i, j = m.span()
+        w = m[0]
+        if not taken.free(i, j):
+            continue
+        if i in titled and len(w) > 2 and not _organisation(text, j):
+            out.append((i, j, "title", "", family(w)))
+        if nxt := _following(text, j, taken):
+            # first or initial; a middle initial and particles may stand before the last name
+            gap, t = nxt
+            if len(w) > 1 and gap.startswith("."):
+                continue
+            if len(w) > 1 and len(t[0]) == 1 and t[0].isupper() and (more := _following(text, t.end(), taken)):
+                t = more[1]
+            while t[0] in _PARTICLE and (more := _following(text, t.end(), taken)) and more[0] in (" ", "  "):
+                t = more[1]
+            last = t[0]
+            capital = last[0].isupper() or ("-" in last and last.split("-")[-1][:1].isupper())
+            fits = w.lower() not in _STOP if len(w) > 1 else gap.startswith(".")
+            if capital and len(last) > 2 and fits and last.lower() not in _ORG and not _organisation(text, t.end()):
+                out.append((i, t.end(), "pair", w.lower() if len(w) > 1 else "", family(last)))
+        elif (c := _COMMA.match(text, j)) and len(w) > 2:
+            t = _TOKEN.match(text, c.end())
+            if t and len(t[0]) > 2 and t[0][0].isupper() and taken.free(*t.span()):
+                out.append((i, t.end(), "turned", t[0].lower(), family(w)))
+    return out
 
-    def org(k: int) -> bool:
-        i = k + 1
-        return i < len(toks) and text[toks[k][1] : toks[i][0]].isspace() and toks[i][2][:1].isupper() and toks[i][2].lower() in _ORG
 
-    def add(form: str, a: int, b: int, first: str, last: str) -> None:
-        left = _words_before(text, toks[a][0], 2)
-        out.append((toks[a][0], toks[b][1], form, first.lower(), family(last), left, _words_after(text, toks[b][1], 2)))
+class FamilyNames(dict):
+    """Whether a written word may end in a known family name in lower case, from the map of slots; kept by word."""
 
-    for k, (i, j, w) in enumerate(toks):
-        cap = w[0].isupper()
-        if cap and i in titled and len(w) > 2 and not org(k):
-            add("title", k, k, "", w)
-        nxt = k + 1
-        if nxt >= len(toks) or not cap and beside is None:
-            continue
-        gap, other = text[j : toks[nxt][0]], toks[nxt][2]
-        if cap and _blank(gap):
-            # first or initial; a middle initial and a particle may stand before the last name
-            if len(w) == 1 or not gap.startswith("."):
-                low = nxt
-                if len(w) > 1 and len(other) == 1 and other.isupper() and low + 1 < len(toks) and _blank(text[toks[low][1] : toks[low + 1][0]]):
-                    low += 1
-                while low + 1 < len(toks) and toks[low][2] in _PARTICLE and text[toks[low][1] : toks[low + 1][0]] in (" ", "  "):
-                    low += 1
-                last = toks[low][2]
-                if (last[0].isupper() or "-" in last and last.split("-")[-1][:1].isupper()) and len(last) > 2 and (w.lower() not in _STOP if len(w) > 1 else gap.startswith(".")) and not org(low):
-                    add("pair", k, low, w if len(w) > 1 else "", last)
-        elif cap and gap in (", ", ",") and other[0].isupper() and len(w) > 2 and len(other) > 2:
-            add("turned", k, nxt, other, w)
-        elif not cap and len(other) > 3 and gap.isspace() and w.islower() and other.islower() and w not in _STOP:
-            left, right = _words_before(text, i, 2), _words_after(text, toks[nxt][1], 2)
-            if beside("L " + left) or beside("R " + right):
-                add("lower", k, nxt, w, other)
+    def __init__(self, slots: bytes) -> None:
+        self.slots = slots
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        bare = re.sub(r"^[\W\d_]+|[\W\d_]+$", "", word)
+        self[word] = known = len(bare) > 3 and bare.islower() and self.holds(family(bare))
+        return known
+
+    def holds(self, name: str) -> bool:
+        k = crc32(name.encode()) % SLOTS
+        return bool(self.slots[k >> 3] & 1 << (k & 7))
+
+
+def lower_candidates(text: str, taken: Taken, names: FamilyNames) -> list[tuple[int, int, str, str, str]]:
+    """As ``name_candidates``: pairs of words in lower case of which the second may be a known family name."""
+    out = []
+    last = None
+    for m in _TOKEN.finditer(text):
+        w = m[0]
+        if last and w.islower() and len(w) > 3 and last[0] not in _STOP and last[0].islower() and text[last.end() : m.start()].isspace() and names.holds(family(w)) and taken.free(last.start(), m.end()):
+            out.append((last.start(), m.end(), "lower", last[0], family(w)))
+        last = m
     return out
 
 
@@ -211,52 +259,162 @@ def email_words(address: str) -> set[str]:
     return {w.lower() for w in re.findall(r"[^\W\d_]{4,}", re.sub(r"\(dot\)|\[dot\]|\sdot\s", ".", local)) if w.lower() not in _LOCAL_STOP}
 
 
-def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, seed_score: float = 0.8, smooth: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Scores of the pattern-instance graph: (pattern, score, n), (instance, score, n).
+def _features(text: str, i: int, j: int) -> tuple[str, str]:
+    return _words_before(text, i, 2), _words_after(text, j, 2)
 
-    ``edges``: pattern, instance, n. ``seeds``: instance. A pattern's score is the weighted mean of its
-    instances' (with ``smooth`` doubtful ones added), an instance's that of its patterns'; during the rounds a
-    seed has at least ``seed_score``, in the result it has what its patterns say. Two aggregations a round, with partial sums before the exchange, so that a pattern or an
-    instance with a third of all edges is no bottleneck.
+
+def candidates_of(text: str) -> list[tuple]:
+    """(graph, form, start, end, learns, feature, feature, feature, feature) of one text; feature None is not there.
+
+    ``learns`` is false for what is only judged: names turned round or in a text without small letters.
     """
-    e = cut_lineage(edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")))
-    seed = cut_lineage(seeds.select("instance").distinct().withColumn("seed", F.lit(seed_score)))
-    score = e.select("instance").distinct().join(seed, "instance", "left").select("instance", F.coalesce("seed", F.lit(0.0)).alias("score"))
-    pat = None
-    for _ in range(rounds):
-        pat = e.join(score, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + smooth)).alias("p"), F.sum("n").alias("n_pattern"))
-        pat = cut_lineage(pat)
-        inst = e.join(pat, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("mean"), F.sum("n").alias("n_instance"))
-        score = cut_lineage(inst.join(seed, "instance", "left").select("instance", F.greatest("mean", F.coalesce("seed", F.lit(0.0))).alias("score"), "mean", "n_instance"))
-    return pat.select("pattern", F.col("p").alias("score"), F.col("n_pattern").alias("n")), score.select("instance", F.col("mean").alias("score"), F.col("n_instance").alias("n"))
+    found = spans(text)
+    taken = Taken(found)
+    out: list[tuple] = []
+    for i, j, kind in found:
+        if kind == "phone":
+            at = i
+            while at and text[at - 1] in "(+":
+                at -= 1
+            out.append(("phone", "seed", i, j, True, label(text, at), shape(text[i:j]), None, None))
+        else:
+            out.append((kind, "seed", i, j, True, *_features(text, i, j), text[i:j].rsplit(None, 1)[-1].lower() if kind == "address" else None, None))
+            if kind == "email":
+                out += [("word", "", 0, 0, False, w, None, None, None) for w in email_words(text[i:j])]
+    for i, j, lab, sh in numbers(text, taken):
+        out.append(("id_number", "seed" if sh in SEED_SHAPES else "", i, j, True, lab, sh, None, None))
+        out.append(("phone", "", i, j, True, lab, sh, None, None))
+    if "@" in text:
+        out += [("email", "", *m.span(), True, *_features(text, *m.span()), None, None) for m in _LOOSE_EMAIL.finditer(text) if taken.free(*m.span())]
+    mixed = cased(text)
+    if mixed:
+        out += [("address", "", *m.span(), True, *_features(text, *m.span()), m[1].lower(), None) for m in _LOOSE_ADDRESS.finditer(text) if taken.free(*m.span())]
+    for i, j, form, first, last in name_candidates(text, taken):
+        left, right = _features(text, i, j)
+        out.append(("name", form if mixed else f"{form} caps", i, j, mixed and form != "turned", left, right, first or None, last))
+    return out
 
 
-_EVENTS = "what string, pattern string, instance string, first string, n bigint"
+_FEATURES = ("f0", "f1", "f2", "f3")
+_CANDIDATE = ["doc_id", "graph", "form", "start_pos", "end_pos", "learns", *_FEATURES]
 
 
-def events(docs: DataFrame) -> DataFrame:
-    """What one reading of the texts gives to learn from, counted per batch: name and number edges, email words."""
+def _schema(docs: DataFrame):
+    kinds = {"graph": "string", "form": "string", "start_pos": "bigint", "end_pos": "bigint", "learns": "boolean", **{f: "string" for f in _FEATURES}}
+    return docs.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).schema
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """One reading of doc_id, text: all candidates with their features, and the words of email addresses (graph ``word``)."""
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            counts: dict[tuple[str, str, str, str], int] = {}
-            for text in b.text:
-                if not text:
-                    continue
-                taken = spans(text)
-                found = [("number", lab, sh, "") for _, _, lab, sh in numbers(text, taken)]
-                for i, j, kind in taken:
-                    if kind == "email":
-                        found += [("word", "", w, "") for w in email_words(text[i:j])]
-                if cased(text):
-                    for _, _, form, first, last, left, right in name_candidates(text, taken):
-                        if form != "turned":
-                            found += [("name", "L " + left, last, first), ("name", "R " + right, last, first)]
-                for k in found:
-                    counts[k] = counts.get(k, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["what", "pattern", "instance", "first", "n"])
-
-    return docs.select("text").mapInPandas(read, _EVENTS)
+            yield pd.DataFrame([(doc, *c) for doc, text in zip(b.doc_id, b.text) for c in candidates_of(text)], columns=_CANDIDATE)
+
+    return docs.mapInPandas(read, _schema(docs))
+
+
+def _hashes(df: DataFrame) -> DataFrame:
+    """Features as 64-bit numbers; two that fall together would only share what is known of them."""
+    at = [F.when(F.col(f).isNotNull(), F.xxhash64("graph", F.lit(k), f)).alias(f"h{k}") for k, f in enumerate(_FEATURES)]
+    return df.select("*", *at)
+
+
+_NODES = tuple(f"h{k}" for k in range(len(_FEATURES)))
+
+
+def _logit(p: Column) -> Column:
+    return F.log(p / (1 - p))
+
+
+def judge(tuples: DataFrame, nodes: DataFrame, seed: float | None, least: float = -MOST) -> DataFrame:
+    """Probability ``o`` of each tuple and the evidence ``e0`` .. ``e3`` of its features, given the node sums.
+
+    ``nodes``: h, pos, graph, s (sum of probabilities), n. A tuple that learns is left out of its own nodes. Those
+    marked ``seed`` have at least ``seed`` (None: what their features say). ``least`` bounds the evidence against: in the
+    first round there is none, since what no seed has need not be wrong. The nodes of a feature that a large part
+    of all tuples have are one row; the tuples' side of the join may be split.
+    """
+    usual = nodes.filter("pos = 0").groupBy("graph").agg((F.sum("s") / F.sum("n")).alias("pi"))
+    # one row a kind
+    t = tuples.join(F.broadcast(usual), "graph", "left").withColumn("pi", F.least(F.greatest(F.coalesce("pi", F.lit(0.0)), F.lit(1e-6)), F.lit(MOST_USUAL)))
+    own_s, own_n = F.when(F.col("learns"), F.col("o")).otherwise(0.0), F.col("learns").cast("double")
+    for k, h in enumerate(_NODES):
+        one = nodes.filter(F.col("pos") == k).select(F.col("h").alias(h), F.col("s").alias("_s"), F.col("n").alias("_n"))
+        p = (F.greatest(F.coalesce("_s", F.lit(0.0)) - own_s, F.lit(0.0)) + PRIOR * F.col("pi")) / (F.greatest(F.coalesce("_n", F.lit(0.0)) - own_n, F.lit(0.0)) + PRIOR)
+        p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+        e = F.least(F.greatest(_logit(p) - _logit(F.col("pi")), F.lit(least)), F.lit(MOST))
+        t = t.join(one, h, "left").withColumn(f"e{k}", F.when(F.col(h).isNull(), 0.0).otherwise(e)).drop("_s", "_n")
+    total = _logit(F.col("pi"))
+    for k in range(len(_NODES)):
+        total = total + F.col(f"e{k}")
+    o = 1 / (1 + F.exp(-total))
+    return t.withColumn("o", o if seed is None else F.when(F.col("seed"), F.greatest(o, F.lit(seed))).otherwise(o)).drop("pi")
+
+
+def node_sums(tuples: DataFrame) -> DataFrame:
+    """graph, pos, h, s, n over the tuples that learn, with partial sums before the exchange."""
+    each = tuples.filter("learns").select("graph", "weight", "o", F.posexplode(F.array(*_NODES)).alias("pos", "h")).filter("h is not null")
+    return each.groupBy("graph", "pos", "h").agg(F.sum(F.col("weight") * F.col("o")).alias("s"), F.sum("weight").alias("n"))
+
+
+def bootstrap(tuples: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """tuples: graph, h0 .. h3, learns, weight, seed -> the same with o, e0 .. e3, and the node sums of the last round."""
+    base = tuples.columns
+    t = tuples.withColumn("o", F.when(F.col("seed"), SEED).otherwise(0.0))
+    nodes = None
+    for k in range(rounds):
+        last = k == rounds - 1
+        old, nodes = nodes, cut_lineage(node_sums(t))
+        done = t
+        t = cut_lineage(judge(t, nodes, SEED if k < rounds - 2 else None, -MOST if k else 0.0).select(*base, "o", *([f"e{i}" for i in range(len(_NODES))] if last else [])))
+        if k:
+            release(done, old)
+    return t, nodes
+
+
+def _slots(names: DataFrame) -> bytes:
+    """The map of the slots of names (column ``name``): SLOTS bits, whatever their number."""
+    slot = F.crc32(F.col("name").cast("binary")) % SLOTS
+    rows = names.select(slot.alias("s")).groupBy(F.floor(F.col("s") / _BUCKET).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("s") % _BUCKET).alias("bits"))
+    out = bytearray(SLOTS // 8)
+    for r in rows.collect():  # SLOTS / _BUCKET rows at most
+        out[r.b * _BUCKET // 8 : r.b * _BUCKET // 8 + len(r.bits)] = r.bits
+    return bytes(out)
+
+
+def _accepted() -> Column:
+    """Which judged candidates count."""
+    o, left, right, first, last = (F.col(c) for c in ("o", "e0", "e1", "e2", "e3"))
+    form = F.col("form")
+    clear = lambda c: c >= CLEAR
+    known = clear(last) & (clear(first) | F.col("f2").isNull())
+    name = (
+        F.when(form.endswith(" caps"), known)
+        .when(form == "turned", (first >= CLEAR / 2) & (last >= CLEAR / 2))
+        .when(form == "lower", clear(last) & (clear(first) | (clear(left) & clear(right))))
+        .otherwise(last > AGAINST)
+    )
+    return (
+        F.when(form == "seed", (F.col("graph") != "id_number") | (o >= GOOD) | ((left > AGAINST) & (right > AGAINST)))
+        .when(F.col("graph") == "name", (o >= GOOD) & name)
+        .when(F.col("graph") == "id_number", o >= GOOD)
+        .when(F.col("graph") == "address", (o >= SURE) & clear(F.col("e2")) & (clear(left) | clear(right)))
+        .otherwise((o >= SURE) & (left >= CLEAR))
+    )
+
+
+def _disjoint(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc_id, found: of overlapping values of a document the one of the better order, then the first, counts."""
+    for b in it:
+        out = []
+        for doc, found in zip(b.doc_id, b.found):
+            taken = Taken()
+            for x in found:
+                if taken.free(x["start_pos"], x["end_pos"]):
+                    taken.add(x["start_pos"], x["end_pos"])
+                    out.append((doc, x["kind"], x["start_pos"], x["end_pos"]))
+        yield pd.DataFrame(out, columns=["doc_id", "kind", "start_pos", "end_pos"])
 
 
 def personal_information(docs: DataFrame) -> DataFrame:
@@ -266,60 +424,40 @@ def personal_information(docs: DataFrame) -> DataFrame:
     ignored. An empty table gives no rows.
     """
     docs = docs.filter("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
-    ev = cut_lineage(events(docs).groupBy("what", "pattern", "instance", "first").agg(F.sum("n").alias("n")))
-    names = ev.filter("what = 'name'")
-    pats, last = bootstrap(names.select("pattern", "instance", "n"), ev.filter("what = 'word'").select("instance"))
-    last = cut_lineage(last)
-    first = names.filter("pattern like 'L %' and first <> ''").join(last.select("instance", "score"), "instance").groupBy("first").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 0.5)).alias("first_score"))
-    first = cut_lineage(first)
-    strong = cut_lineage(pats.filter((F.col("score") >= GOOD_PATTERN) & (F.col("n") >= PATTERN_LEAST)).select("pattern"))
-    slots = bytearray(SLOTS)
-    for r in strong.select((F.crc32(F.col("pattern").cast("binary")) % SLOTS).alias("slot")).distinct().collect():  # at most SLOTS
-        slots[r.slot] = 1
-    slots = bytes(slots)
-
-    def beside(pattern: str) -> bool:
-        return slots[crc32(pattern.encode()) % SLOTS] == 1
-
-    labels, shapes = bootstrap(ev.filter("what = 'number'").select("pattern", "instance", "n"), docs.sparkSession.createDataFrame([(x,) for x in SEED_SHAPES], "instance string"), rounds=2 * ROUNDS, smooth=0.0)
-
-    def find(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cand = cut_lineage(_hashes(candidates(docs)))
+    words = cand.filter("graph = 'word'").select(F.col("f0").alias("w")).distinct()
+    key = ["graph", "learns", *_NODES]
+    # what occurs in email addresses makes a pair a seed
+    t = cand.filter("graph <> 'word'").groupBy(*key).agg(F.count("*").cast("double").alias("n"), F.max(F.col("form") == "seed").alias("formed"), F.first("f2").alias("f2"), F.first("f3").alias("f3"))
+    t = t.join(words.select(F.col("w").alias("f2"), F.lit(True).alias("by_first")), "f2", "left").join(words.select(F.col("w").alias("f3"), F.lit(True).alias("by_last")), "f3", "left")
+    named = (F.col("graph") == "name") & F.col("learns") & F.coalesce("by_first", "by_last", F.lit(False))
+    # copies of a name in the same words count once
+    t = cut_lineage(t.select(*key, F.when(F.col("graph") == "name", 1.0).otherwise(F.col("n")).alias("weight"), (named | F.col("formed")).alias("seed")))
+    scored, nodes = bootstrap(t)
+    on = [cand[c].eqNullSafe(scored[c]) for c in key]
+    judged = cand.join(scored.select(*key, "o", *[f"e{k}" for k in range(len(_NODES))]), on).select(cand["*"], "o", *[f"e{k}" for k in range(len(_NODES))])
+
+    # second reading, of texts with a known family name in lower case only
+    known = judged.filter(F.col("learns") & (F.col("graph") == "name") & (F.col("o") >= GOOD)).select(F.col("f3").alias("name")).distinct()
+    slots = _slots(known)
+
+    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = FamilyNames(slots)
         for b in it:
             out = []
             for doc, text in zip(b.doc_id, b.text):
-                taken = spans(text)
-                out += [(doc, kind, i, j, "", "", "", "", None) for i, j, kind in taken]
-                nums = numbers(text, taken)
-                out += [(doc, "id_number", i, j, "number", sh, "", lab, None) for i, j, lab, sh in nums]
-                for i, j, form, f, la, left, right in name_candidates(text, taken, beside):
-                    out.append((doc, "name", i, j, form, la, f, *[p if beside(p) else None for p in ("L " + left, "R " + right)]))
-            yield pd.DataFrame(out, columns=["doc_id", "kind", "start_pos", "end_pos", "form", "instance", "first", "pattern", "right"])
-
-    schema = docs.select("doc_id", F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("start_pos"), F.lit(0).cast("bigint").alias("end_pos"), F.lit("").alias("form"), F.lit("").alias("instance"), F.lit("").alias("first"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("right")).schema
-    cand = cut_lineage(docs.mapInPandas(find, schema))
-    plain = cand.filter("form = ''")
-    num = cand.filter("form = 'number'").join(labels.withColumnRenamed("score", "label_score").drop("n"), "pattern").join(shapes.withColumnRenamed("score", "shape_score").drop("n"), "instance")
-    num = num.filter((F.col("label_score") >= GOOD_NUMBER) & (F.col("shape_score") >= GOOD_NUMBER))
-    nam = cand.filter("kind = 'name'").join(last.select("instance", "score"), "instance").join(first, "first", "left")
-    held = strong.select("pattern", F.lit(True).alias("on_left")), strong.select(F.col("pattern").alias("right"), F.lit(True).alias("on_right"))
-    nam = nam.join(held[0], "pattern", "left").join(held[1], "right", "left")
-    fs = F.coalesce("first_score", F.lit(0.0))
-    good, sure = F.col("score") >= GOOD_NAME, F.col("score") >= SURE_NAME
-    near = F.coalesce("on_left", "on_right", F.lit(False))
-    keep = (
-        F.when(F.col("form") == "title", good | (near & (F.col("score") >= GOOD_NAME / 2)))
-        .when(F.col("form") == "pair", good & (sure | near | (F.col("first") == "") | (fs >= GOOD_FIRST)))
-        .when((F.col("form") == "lower") & ~near, False)
-        .otherwise(good & ((sure & near) | (fs >= GOOD_FIRST)))
-    )
-    # of overlapping names the pair counts before the lower-case one, the titled and the turned one
-    rank = F.when(F.col("form") == "pair", 0).when(F.col("form") == "lower", 1).when(F.col("form") == "title", 2).otherwise(3)
-    per_doc = nam.filter(keep).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(rank.alias("rank"), "start_pos", "end_pos"))).alias("all"))
-    empty = F.filter("all", lambda x: F.lit(False))
-    chosen = F.aggregate("all", empty, lambda acc, x: F.when(F.exists(acc, lambda y: (x["start_pos"] < y["end_pos"]) & (y["start_pos"] < x["end_pos"])), acc).otherwise(F.array_append(acc, x)))
-    names_found = per_doc.select("doc_id", F.explode(chosen).alias("c")).select("doc_id", F.lit("name").alias("kind"), "c.start_pos", "c.end_pos")
-    cols = ["doc_id", "kind", "start_pos", "end_pos"]
-    return plain.select(*cols).unionByName(num.select(*cols)).unionByName(names_found).distinct()
+                if any(map(names.__getitem__, text.split())):
+                    for i, j, form, first, last in lower_candidates(text, Taken(spans(text)), names):
+                        out.append((doc, "name", form, i, j, False, *_features(text, i, j), first, last))
+            yield pd.DataFrame(out, columns=_CANDIDATE)
+
+    lower = _hashes(docs.mapInPandas(read, _schema(docs))).withColumns({"o": F.lit(0.0), "seed": F.lit(False)})
+    judged = judged.unionByName(judge(lower, nodes, None).select(judged.columns))
+    form = F.regexp_replace("form", " caps$", "")
+    order = F.when(form == "seed", 0).when(F.col("graph") == "id_number", 1).when((form == "pair") & (F.col("e3") > -CLEAR / 4), 2).when(form == "lower", 3).when(form == "title", 4).when(form == "turned", 5).otherwise(6)
+    per_doc = judged.filter(_accepted()).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(order.alias("order"), "start_pos", "end_pos", F.col("graph").alias("kind")))).alias("found"))
+    out = docs.select("doc_id", F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("start_pos"), F.lit(0).cast("bigint").alias("end_pos")).schema
+    return per_doc.mapInPandas(_disjoint, out)
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
