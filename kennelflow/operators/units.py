@@ -24,6 +24,7 @@ ALIASES = {
         "lb": ("lb", "lbs", "pound", "pounds", "#", "libra", "libras", "livre", "livres"),
         "kg": ("kg", "kgs", "kilo", "kilos", "kilogram", "kilograms", "kilogramme", "kilogrammes", "kilogramo", "kilogramos"),
         "oz": ("oz", "ounce", "ounces", "onza", "onzas"),
+        "st": ("st", "stone", "stones"),
         "g": ("g", "gr", "gram", "grams", "gramo", "gramos", "gramme", "grammes"),
     },
     "age": {
@@ -36,6 +37,7 @@ ALIASES = {
 # Unit, field, factor to pounds or months (a month has 30.44 days, a year 12 months).
 FACTORS = [
     ("lb", "weight", 1.0),
+    ("st", "weight", 14.0),
     ("kg", "weight", 2.20462262185),
     ("oz", "weight", 1 / 16),
     ("g", "weight", 0.00220462262185),
@@ -54,7 +56,10 @@ FRACTIONS = {"½": 0.5, "¼": 0.25, "¾": 0.75, "⅓": 1 / 3, "⅔": 2 / 3}
 
 _WORD = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + "|hundred"
 _WORDS = re.compile(rf"(?<![a-z])(?:(?:a |one )?hundred|{_WORD})(?:(?:[ -]|\s+and\s+)(?:{_WORD}))*(?![a-z])")
-_NUM = re.compile(r"\d+(?:[.,]\d+)?|\.\d+")
+_NUM = re.compile(r"(?<![\d.,])\d{1,3}(?:[ ,]\d{3})+(?:\.\d+)?(?![\d,])|\d+(?:[.,]\d+)?|\.\d+")
+_ONE_GROUP = re.compile(r"\d{1,3}[.,]\d{3}")
+#: Units so small that a figure in them may have thousands: "2,780 g" is no decimal fraction, "12,500 kg" is one.
+_SMALL = {"g", "oz", "day", "week"}
 _RANGE = re.compile(r"^\s*(?:-|–|—|to|a|à)\s*$")
 _ISO = re.compile(r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)")
 _US = re.compile(r"(?<!\d)(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?!\d)")
@@ -123,7 +128,12 @@ def automaton(field: str) -> Automaton:
     return _made[field]
 
 
-def _number(t: str) -> float:
+def _number(t: str, unit: str | None = None) -> float:
+    """A written figure. Groups of thousands are told from decimal fractions by the unit where both can be meant."""
+    if " " in t or t.count(",") > 1 or ("," in t and "." in t):
+        return float(t.replace(" ", "").replace(",", ""))
+    if _ONE_GROUP.fullmatch(t) and unit in _SMALL and not t.startswith("0") and ("," in t or unit == "g"):
+        return float(t.replace(",", "").replace(".", ""))
     return float(t.replace(",", "."))
 
 
@@ -152,7 +162,7 @@ def amounts(text: str | None, field: str) -> list[tuple[float, str | None]]:
     s = _digits(outside if re.search(r"\d|" + _WORD, outside) else s)
     if re.search(r"\b(?:under|below|less than|up to|menos de|moins de)\s*[\d.]", s):
         return []
-    nums = [(m.start(), m.end(), _number(m[0])) for m in _NUM.finditer(s)]
+    nums = [(m.start(), m.end(), m[0]) for m in _NUM.finditer(s)]
     if not nums:
         return []
     units = automaton(field).units(s)
@@ -163,6 +173,9 @@ def amounts(text: str | None, field: str) -> list[tuple[float, str | None]]:
         if unit is None and field == "weight":  # "#12", "lb 12"
             unit = next((u for a, b, u in units if b <= i and s[b:i].strip() == "" and s[a:b] == "#" and not re.search(r"\d\s*$", s[:a])), None)
         parts.append([v, unit, i, j])
+    # in a range the unit is written once, behind the second figure
+    for k, p in enumerate(parts):
+        p[0] = _number(p[0], p[1] or (parts[k + 1][1] if k + 1 < len(parts) else None))
     merged: list[list] = []
     for p in parts:
         if merged and _RANGE.match(re.sub("|".join(sorted((re.escape(a) for n in ALIASES[field].values() for a in n), key=len, reverse=True)), "", s[merged[-1][3] : p[2]]) if merged[-1][1] else s[merged[-1][3] : p[2]]) and (merged[-1][1] in (None, p[1])) and p[0] >= merged[-1][0]:
@@ -172,7 +185,7 @@ def amounts(text: str | None, field: str) -> list[tuple[float, str | None]]:
     with_unit = [(v, u) for v, u, _, _ in merged if u]
     if with_unit:
         # one statement: units going down ("5 lb 3 oz"); a later statement with the same or a greater unit is another one
-        rank = {u: r for r, u in enumerate(("kg", "lb", "oz", "g") if field == "weight" else ("year", "month", "week", "day"))}
+        rank = {u: r for r, u in enumerate(("kg", "st", "lb", "oz", "g") if field == "weight" else ("year", "month", "week", "day"))}
         out = [with_unit[0]]
         for v, u in with_unit[1:]:
             if rank[u] <= rank[out[-1][1]]:
@@ -183,6 +196,8 @@ def amounts(text: str | None, field: str) -> list[tuple[float, str | None]]:
 
 
 _UNIT_WORDS = {f: "|".join(sorted((re.escape(a) for n in t.values() for a in n if len(a) > 1), key=len, reverse=True)) for f, t in ALIASES.items()}
+_FIGURE = rf"[0-9½¼¾⅓⅔]|(?:^|[^a-z])(?:{_WORD})(?:[^a-z]|$)"
+_ANY_UNIT = "#|(?:^|[^a-z])(?:" + "|".join(sorted((re.escape(a) for t in ALIASES.values() for n in t.values() for a in n if a != "#"), key=len, reverse=True)) + ")(?:[^a-z]|$)"
 _NOTE = {
     "weight": (("kg", r"kilo|\bkgs?\b|metric"), ("lb", r"pound|\blbs?\b|imperial")),
     "age": (("month", r"month|\bmos?\b"), ("week", r"week"), ("year", r"year")),
@@ -196,11 +211,11 @@ def unit_in_text(text: str | None, field: str, value: float) -> str | None:
     s = _folded(re.sub(r"<[^>]+>", " ", text))
     hits = []
     for a, b, u in automaton(field).units(s):
-        m = re.search(r"(\d+(?:[.,]\d+)?)[\s-]*$", s[max(0, a - 16) : a])
-        if m and (b - a > 1 or field == "weight"):
+        m = re.search(r"(\d{1,3}(?:[ ,]\d{3})+|\d+(?:[.,]\d+)?)[\s-]*$", s[max(0, a - 16) : a])
+        if m and (b - a > 1 or field == "weight") and s[a:b] != "st":
             before = s[max(0, a - 60) : a]
             about = re.search(r"weigh|scale|comes to|tips", before) if field == "weight" else re.search(r"\bage|\bold\b|born|turn|about|\bis\b", before + s[b : b + 6])
-            hits.append((abs(_number(m[1]) - value) < 1e-9, bool(about), u))
+            hits.append((abs(_number(m[1], u) - value) < 1e-9, bool(about), u))
     hits = [h for h in hits if h[0] or h[1]]
     return max(hits, key=lambda h: (h[0], h[1]))[2] if hits else None
 
@@ -218,8 +233,12 @@ def unit_in_notes(notes: str | None, field: str) -> str | None:
 
 
 def needs_text(raws: list[str]) -> Column:
-    """Some raw text is a figure without a word, so that its unit may stand in the description."""
-    return F.expr(" or ".join(f"coalesce(`{raw}` rlike '^[^A-Za-z#]*[0-9][^A-Za-z#]*$', false)" for raw in raws))
+    """Some raw text has a figure, in digits or words, and no unit, so that its unit may stand in the description."""
+    out = F.lit(False)
+    for raw in raws:
+        plain = F.translate(F.lower(F.col(raw)), "áàâéèêíîóôúûñ", "aaaeeeiioouun")
+        out = out | F.coalesce(plain.rlike(_FIGURE) & ~plain.rlike(_ANY_UNIT), F.lit(False))
+    return out
 
 
 def parse_amounts(rows: DataFrame, fields: dict[str, tuple[str, str]], id_col: str, text_col: str, notes_col: str, at_col: str) -> DataFrame:
