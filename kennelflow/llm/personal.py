@@ -8,7 +8,7 @@ features that stand for it in the pattern-instance graph:
 * addresses and emails: forms of a house number and capital words, or with an at-sign, with the words beside them.
 
 Seeds are what has a form of its own: emails, phone numbers and addresses that a grammar reads, identity numbers of
-a few well-known shapes, and names whose words occur in email addresses. Seeds induce patterns: in every round a
+a few well-known shapes, and names whose family name occurs in email addresses. Seeds induce patterns: in every round a
 feature is as good as the candidates that have it, beyond what is usual in its kind, and a candidate as its features
 together. Good features then discover values that no seed named, in any letter case, among them phone numbers,
 addresses and emails that the grammar doesn't know.
@@ -88,6 +88,7 @@ _LOCAL_STOP = set("dogs info adopt adoption adoptions foster contact hello offic
 
 _GAP = re.compile(r"(\.?)([^\S\n]{1,3})(?!\s)")
 _COMMA = re.compile(r", ?(?!\s)")
+_BREAK = re.compile(r"[\n/;,()<>.!?]")
 _NEXT = re.compile(r"\s+([^\W\d_]+)")
 # What may be an address or an email although the grammar doesn't know it.
 _LOOSE_ADDRESS = re.compile(r"(?<![\w#/.,:-])\d{1,6}[A-Z]?[^\S\n](?:[A-Z][\w'’]*[^\S\n]){1,2}([A-Z][\w'’]+)")
@@ -207,7 +208,7 @@ def name_candidates(text: str, taken: Taken) -> list[tuple[int, int, str, str, s
                 out.append((i, t.end(), "pair", w.lower() if len(w) > 1 else "", family(last)))
         elif (c := _COMMA.match(text, j)) and len(w) > 2:
             t = _TOKEN.match(text, c.end())
-            if t and len(t[0]) > 2 and t[0][0].isupper() and taken.free(*t.span()):
+            if t and len(t[0]) > 2 and t[0][0].isupper() and not {w.lower(), t[0].lower()} & _STOP and taken.free(*t.span()):
                 out.append((i, t.end(), "turned", t[0].lower(), family(w)))
     return out
 
@@ -281,7 +282,9 @@ def candidates_of(text: str) -> list[tuple]:
             out.append((kind, "seed", i, j, True, *_features(text, i, j), text[i:j].rsplit(None, 1)[-1].lower() if kind == "address" else None, None))
             if kind == "email":
                 out += [("word", "", 0, 0, False, w, None, None, None) for w in email_words(text[i:j])]
+    labelled = []
     for i, j, lab, sh in numbers(text, taken):
+        labelled.append((i, set(lab.split())))
         out.append(("id_number", "seed" if sh in SEED_SHAPES else "", i, j, True, lab, sh, None, None))
         out.append(("phone", "", i, j, True, lab, sh, None, None))
     if "@" in text:
@@ -289,7 +292,13 @@ def candidates_of(text: str) -> list[tuple]:
     mixed = cased(text)
     if mixed:
         out += [("address", "", *m.span(), True, *_features(text, *m.span()), m[1].lower(), None) for m in _LOOSE_ADDRESS.finditer(text) if taken.free(*m.span())]
+    at = 0
     for i, j, form, first, last in name_candidates(text, taken):
+        while at < len(labelled) and labelled[at][0] < j:
+            at += 1
+        # the label of a number is no name
+        if at < len(labelled) and last in labelled[at][1] and not _BREAK.search(text[j : labelled[at][0]]):
+            continue
         left, right = _features(text, i, j)
         out.append(("name", form if mixed else f"{form} caps", i, j, mixed and form != "turned", left, right, first or None, last))
     return out
@@ -388,10 +397,11 @@ def _accepted() -> Column:
     o, left, right, first, last = (F.col(c) for c in ("o", "e0", "e1", "e2", "e3"))
     form = F.col("form")
     clear = lambda c: c >= CLEAR
-    known = clear(last) & (clear(first) | F.col("f2").isNull())
+    known = clear(last) & ((first >= CLEAR / 2) | F.col("f2").isNull())
     name = (
         F.when(form.endswith(" caps"), known)
-        .when(form == "turned", (first >= CLEAR / 2) & (last >= CLEAR / 2))
+        .when(form == "turned", (first > AGAINST) & clear(last))
+        .when((form == "pair") & F.col("f2").isNull(), (last >= CLEAR / 2) | ((last > -CLEAR / 4) & clear(left) & clear(right)))
         .when(form == "lower", clear(last) & (clear(first) | (clear(left) & clear(right))))
         .otherwise(last > AGAINST)
     )
@@ -427,10 +437,11 @@ def personal_information(docs: DataFrame) -> DataFrame:
     cand = cut_lineage(_hashes(candidates(docs)))
     words = cand.filter("graph = 'word'").select(F.col("f0").alias("w")).distinct()
     key = ["graph", "learns", *_NODES]
-    # what occurs in email addresses makes a pair a seed
-    t = cand.filter("graph <> 'word'").groupBy(*key).agg(F.count("*").cast("double").alias("n"), F.max(F.col("form") == "seed").alias("formed"), F.first("f2").alias("f2"), F.first("f3").alias("f3"))
-    t = t.join(words.select(F.col("w").alias("f2"), F.lit(True).alias("by_first")), "f2", "left").join(words.select(F.col("w").alias("f3"), F.lit(True).alias("by_last")), "f3", "left")
-    named = (F.col("graph") == "name") & F.col("learns") & F.coalesce("by_first", "by_last", F.lit(False))
+    # a family name that occurs in email addresses, alone or after the initial, makes a seed; first names don't, dogs have them as well
+    t = cand.filter("graph <> 'word'").groupBy(*key).agg(F.count("*").cast("double").alias("n"), F.max(F.col("form") == "seed").alias("formed"), F.first("f3").alias("f3"), F.first(F.concat(F.substring("f2", 1, 1), "f3")).alias("short"))
+    t = t.join(words.select(F.col("w").alias("f3"), F.lit(True).alias("by_last")), "f3", "left")
+    t = t.join(words.select(F.col("w").alias("short"), F.lit(True).alias("by_short")), "short", "left")
+    named = (F.col("graph") == "name") & F.col("learns") & F.coalesce("by_last", "by_short", F.lit(False))
     # copies of a name in the same words count once
     t = cut_lineage(t.select(*key, F.when(F.col("graph") == "name", 1.0).otherwise(F.col("n")).alias("weight"), (named | F.col("formed")).alias("seed")))
     scored, nodes = bootstrap(t)
