@@ -33,21 +33,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("gid").alias("canonical_dog_id"), rows.alias("r")).select("canonical_dog_id", "r.*").filter("listing_id is not null")
 
 
-def _named(spark: SparkSession, d: str) -> DataFrame:
-    rows = latest_rows(table(spark, d, "dog_listings"), "id", "updated_at", ["breed_raw", "color_raw"])
-    breeds = C.reference_entries(table(spark, d, "ref_breeds"), "breed_id", "breed_name", "also_known_as")
-    colors = C.reference_entries(table(spark, d, "ref_colors"), "color_id", "color_name", "also_known_as")
-    return C.map_values(rows, {"breed": ("breed_raw", breeds), "color": ("color_raw", colors)})
+def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = latest_rows(table(spark, d, "dog_listings"), "id", "updated_at", ["canonical_dog_id", "breed_raw", "breed_normalized", "color_raw"]).withColumnRenamed("canonical_dog_id", "gid")
+    breeds = C.reference_names(table(spark, d, "ref_breeds"), "breed", "breed_id", "breed_name", "also_known_as")
+    colors = C.reference_names(table(spark, d, "ref_colors"), "color", "color_id", "color_name", "also_known_as")
+    return C.map_values(rows, {"breed": "breed_raw", "color": "color_raw"}, breeds.unionByName(colors), {"breed": "breed_normalized"})
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _named(spark, d).withColumnRenamed("id", "listing_id")
+    return _named(spark, d)[0].withColumnRenamed("id", "listing_id")
+
+
+def p6_learnt(spark: SparkSession, d: str) -> DataFrame:
+    """Names that the reference lists lack, with their entry and the votes for it."""
+    return _named(spark, d)[1]
 
 
 def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """The values that name something outside the lists, with the number of listings that have them."""
     rows = latest_rows(table(spark, d, "dog_listings"), "id", "updated_at", ["breed_raw", "color_raw"])
-    none = _named(spark, d).filter("ref_id = 0").join(rows, "id")
+    none = _named(spark, d)[0].filter("ref_id = 0").join(rows, "id")
     return none.groupBy("field_name", F.when(F.col("field_name") == "breed", F.col("breed_raw")).otherwise(F.col("color_raw")).alias("value")).agg(F.count("*").alias("listings"))
 
 
@@ -91,5 +96,5 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return I.redact(docs, I.personal_information(docs))
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p1_found": p1_found, "p6_found": p6_found, "p6_unmatched": p6_unmatched}
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p1_found": p1_found, "p6_found": p6_found, "p6_learnt": p6_learnt, "p6_unmatched": p6_unmatched}
 SQL: dict[str, str] = {}

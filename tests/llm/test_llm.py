@@ -38,25 +38,75 @@ def test_survivors(spark):
     assert survivors.survivors(spark.createDataFrame([], MEMBERS)).count() == 0
 
 
-def test_vocabulary():
-    entries = [(1, "Labrador Retriever", ["Lab"]), (2, "Golden Retriever", []), (3, "Pit Bull", []), (4, "Fox Terrier", []), (5, "Boston Terrier", ["Boston"]), (6, "Standard Poodle", [])]
-    m = vocabulary.Matcher(entries, vocabulary.NOISE["breed"])
-    cases = {
-        "Retriever, Golden mix": {2},
-        "Labr. Retr. / Pit Bull": {1, 3},
-        "g0ldén retreiver": {2},
-        "Terrier, Fox / Boston": {4, 5},
-        "Lab x ???": {1, 0},
-        "Poodle (Standard) (Medium)": {6},
-        "Purebred": {0},
-        "": {0},
-        "  ": {0},
-        "Lurcher": {0},
-        "labrador_retriever & lab": {1},
-        "z" * 50_000: {0},
-    }
-    m.fuzzy(set().union(*(m.keys(v) for v in cases)))
-    assert {v: m.resolve(v) for v in cases} == cases
+NAMES = [(1, "Labrador Retriever", ["Lab"]), (2, "Golden Retriever", []), (3, "Pit Bull", []), (4, "Fox Terrier", []), (5, "Boston Terrier", ["Boston"]), (6, "Standard Poodle", []), (None, "Nothing", []), (7, None, ["Nobody"]), (8, " ", None)]
+VALUES = {
+    "Retriever, Golden mix": {2},
+    "Labr. Retr. / Pit Bull": {1, 3},
+    "g0ldén retreiver": {2},
+    "Terrier, Fox / Boston": {4, 5},
+    "Lab x ???": {1, 0},
+    "Poodle (Standard) (Medium)": {6},
+    "Purebred": {0},
+    "": {0},
+    "  ": {0},
+    "Lurcher": {0},
+    "labrador_retriever & lab": {1},
+    "pit bull lab": {1, 3},
+    "z" * 50_000: {0},
+    "ab " * 5_000: {0},
+}
+
+
+def mapped(spark, rows, shard_names, refs=NAMES):
+    df = spark.createDataFrame(rows, "id string, gid bigint, raw string, told string, field string")
+    names = vocabulary.reference_names(spark.createDataFrame(refs, "ref_id bigint, name string, more array<string>"), "breed", "ref_id", "name", "more")
+    found, learnt = vocabulary.map_values(df, {"breed": "raw"}, names, {"breed": "told"}, shard_names)
+    return found.collect(), {(r.name, r.ref_id) for r in learnt.collect()}
+
+
+@pytest.mark.parametrize("shard_names", [1000, 2])
+def test_vocabulary(spark, shard_names):
+    rows = [(f"v{i}", None, v, None, "x") for i, v in enumerate(VALUES)] + [("n", None, None, "Lab", "x"), (None, None, "Lab", None, "x")]
+    found, learnt = mapped(spark, rows, shard_names)
+    got = {}
+    for r in found:
+        got.setdefault(r.id, set()).add(r.ref_id)
+    assert got == {f"v{i}": want for i, want in enumerate(VALUES.values())} and learnt == set()
+
+
+def test_names_are_learnt_from_the_group_and_the_recorded_name(spark):
+    rows = [(f"a{i}", i, "Goldie", None, "x") for i in range(4)] + [(f"b{i}", i, "golden retriever", None, "x") for i in range(4)]
+    # one group with many rows is one vote; votes that differ teach nothing
+    rows += [(f"c{i}", 50, "Lurcher", None, "x") for i in range(40)] + [("d", 50, "Lab", None, "x")]
+    rows += [(f"e{i}", 60 + i, "Mystery", n, "x") for i, n in enumerate(["Lab", "Pit Bull", "Fox Terrier", "Lab"])]
+    rows += [(f"f{i}", None, "Poody", "Standard  poodle", "x") for i in range(3)] + [("g", None, "Godlie / Pit Bull", None, "x")]
+    found, learnt = mapped(spark, rows, 3)
+    assert learnt == {("goldie", 2), ("poody", 6)}
+    by = {}
+    for r in found:
+        by.setdefault(r.id, set()).add(r.ref_id)
+    assert by["a0"] == {2} and by["f1"] == {6} and by["c7"] == {0} and by["e0"] == {0} and by["g"] == {2, 3}
+
+
+def test_vocabulary_of_nothing(spark):
+    assert mapped(spark, [], 10) == ([], set())
+    assert [r.ref_id for r in mapped(spark, [("a", 1, "Lab", None, "x")], 10, [])[0]] == [0]
+
+
+def test_recall_of_misspelt_names_is_whole_within_the_allowed_errors(spark):
+    rng = random.Random(12)
+    refs = [(i, "".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(8, 12))), []) for i in range(1, 120)]
+    rows, want = [], {}
+    for i in range(400):
+        ref_id, name, _ = rng.choice(refs)
+        k = rng.randrange(1, len(name) - 2)
+        bad = rng.choice([name[:k] + name[k + 1 :], name[:k] + rng.choice("nopq") + name[k:], name[:k] + name[k + 1] + name[k] + name[k + 2 :]])
+        near = [n for _, n, _ in refs if vocabulary.damerau(bad, n) <= vocabulary.damerau(bad, name)]
+        if near == [name]:
+            want[f"r{i}"] = ref_id
+            rows.append((f"r{i}", None, bad, None, "x"))
+    found, _ = mapped(spark, rows, 30, refs)
+    assert len(want) > 300 and {r.id: r.ref_id for r in found} == want
 
 
 @settings(max_examples=60, deadline=None)
@@ -71,7 +121,7 @@ def test_distances(a, b):
     assert vocabulary.damerau(a, b) <= lev <= 2 * vocabulary.damerau(a, b)
 
 
-def test_tree_finds_all_and_shards_agree(spark):
+def test_tree_finds_all():
     rng = random.Random(5)
     names = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(4, 12))) for _ in range(200)]
     queries = [n[:2] + rng.choice("abcdef") + n[3:] for n in names[:60]]
@@ -79,10 +129,6 @@ def test_tree_finds_all_and_shards_agree(spark):
     order = list(dict.fromkeys(names))
     want = {(q, k, int(vocabulary.levenshtein_many(w, *vocabulary.encode([queries[q]]))[0])) for q in range(len(queries)) for k, w in enumerate(order)}
     assert got == {x for x in want if x[2] <= 3}
-    refs = spark.createDataFrame(list(enumerate(names, 1)), "ref_id bigint, name string")
-    vals = spark.createDataFrame([(q,) for q in queries] + [(None,)], "value string")
-    one, many = ({tuple(r) for r in vocabulary.closest_entries(vals, refs, n).collect()} for n in (1, 4))
-    assert one == many and len(one) == len(set(queries))
 
 
 def test_packing(spark):
