@@ -3,7 +3,8 @@
 Conflict-constrained best fit: the open bins of a shard are ordered by what is left in them; each bin
 carries a bitmap of its sources and one of its duplicate clusters. For an item, longest first, the search
 starts at the tightest bin that it fits and goes on through the successors until one is compatible: no
-copy of the item's cluster is in it, and no source that must not share a container with the item's.
+copy of the item's cluster is in it, no source that must not share a container with the item's, and not already as
+many sources as a container may have.
 
 Shards are hashes of the item, sized by counts, so that a source or cluster with a third of all items is
 spread evenly. The bins that a round leaves loosely filled are opened again and their items packed anew
@@ -28,19 +29,27 @@ SHARD_ITEMS = 20_000
 GOOD_FILL, ROUNDS = 0.98, 3
 
 
-def best_fit(items: Iterable[tuple[int, int, int, int]], capacity: int, apart: dict[int, int]) -> list[tuple[int, list[int]]]:
+def best_fit(items: Iterable[tuple[int, int, int, int]], capacity: int, apart: dict[int, int], most_sources: int | None = None) -> list[tuple[int, list[int]]]:
     """items: (item, size, source bit number, cluster bit number or -1) -> (free room, items) of each bin.
 
-    ``apart``: source bit number -> bitmap of sources that must not share its bin.
+    ``apart``: source bit number -> bitmap of sources that must not share its bin. ``most_sources``: different sources in a
+    bin at most. A cluster all of whose bins are in the way opens a new bin without a search.
     """
     left: list[tuple[int, int]] = []
     bins: list[list[int]] = []
     sources: list[int] = []
     clusters: list[int] = []
+    holding: dict[int, list[int]] = {}  # cluster -> free room of the bins that hold it, in order
+    within: list[set[int]] = []  # clusters in each bin
     for item, size, src, cl in sorted(items, key=lambda x: (-x[1], x[0])):
-        bad, copy = apart.get(src, 0), 1 << cl if cl >= 0 else 0
+        bad, bit, copy = apart.get(src, 0), 1 << src, 1 << cl if cl >= 0 else 0
         at = bisect_left(left, (size, -1))
-        while at < len(left) and (clusters[left[at][1]] & copy or sources[left[at][1]] & bad):
+        if copy and (own := holding.get(cl)) and len(own) - bisect_left(own, size) == len(left) - at:
+            at = len(left)
+        while at < len(left):
+            b = left[at][1]
+            if not (clusters[b] & copy or sources[b] & bad) and (most_sources is None or sources[b] & bit or sources[b].bit_count() < most_sources):
+                break
             at += 1
         if at < len(left):
             room, b = left.pop(at)
@@ -50,7 +59,15 @@ def best_fit(items: Iterable[tuple[int, int, int, int]], capacity: int, apart: d
             bins.append([item])
             sources.append(0)
             clusters.append(0)
-        sources[b] |= 1 << src
+            within.append(set())
+        for c in within[b]:
+            own = holding[c]
+            own.pop(bisect_left(own, room))
+            insort(own, room - size)
+        if copy:
+            within[b].add(cl)
+            insort(holding.setdefault(cl, []), room - size)
+        sources[b] |= bit
         clusters[b] |= copy
         insort(left, (room - size, b))
     return [(room, bins[b]) for room, b in left]
@@ -63,11 +80,11 @@ def split_long(docs: DataFrame, capacity: int) -> DataFrame:
     return rows.withColumn("from_token", (F.col("part_no") * capacity).cast("bigint")).withColumn("size", F.least(F.lit(capacity), F.col("tokens") - F.col("from_token")).cast("int"))
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, keep_apart: Iterable[tuple[str, str]] = (), shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, keep_apart: Iterable[tuple[str, str]] = (), most_sources: int | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """items: doc_id, part_no, size, source, cluster (null: no copies) -> doc_id, part_no, size, container.
 
-    Every item comes out once; no container exceeds ``capacity``, holds two items of one cluster or two
-    sources of a pair in ``keep_apart``. Items of size 0 or null are not packed; null sources are a source
+    Every item comes out once; no container exceeds ``capacity``, holds two items of one cluster, two
+    sources of a pair in ``keep_apart`` or more than ``most_sources`` sources. Items of size 0 or null are not packed; null sources are a source
     of their own. Equal sizes are taken in the order of their ids, so the result is the same in every run.
     """
     pairs = [tuple(p) for p in keep_apart]
@@ -84,7 +101,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, keep_apart: Iterable[tuple[
         g = g.sort_values(["doc_id", "part_no"]).reset_index(drop=True)
         its = ((i, int(s), names[x], bits.get(c, -1)) for i, (s, x, c) in enumerate(zip(g["size"], g.source.fillna(""), g.cluster)))
         label, room = [""] * len(g), [0] * len(g)
-        for n, (free, members) in enumerate(sorted(best_fit(its, capacity, apart), key=lambda b: b[1][0])):
+        for n, (free, members) in enumerate(sorted(best_fit(its, capacity, apart, most_sources), key=lambda b: b[1][0])):
             for m in members:
                 label[m], room[m] = f"{rnd}-{shard}-{n}", free
         return g.assign(container=label, free=room)[["doc_id", "part_no", "size", "source", "cluster", "container", "free"]]

@@ -56,15 +56,15 @@ def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return none.groupBy("field_name", F.when(F.col("field_name") == "breed", F.col("breed_raw")).otherwise(F.col("color_raw")).alias("value")).agg(F.count("*").alias("listings"))
 
 
-#: Notes on persons never share a container with texts written to be published.
-KEEP_APART = (("adopter_application", "event_post"), ("medical_note", "event_post"))
+#: Different sources in one container at most.
+MOST_SOURCES = 6
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, part_no, from_token, size, container: every document's tokens in containers of 2,048."""
     docs = table(spark, d, "documents").withColumn("cluster", P.text_cluster(F.col("text")))
     items = cut_lineage(P.split_long(count_tokens(docs, ["doc_id", "source", "cluster"]), P.CAPACITY))
-    packed = P.pack(items, P.CAPACITY, KEEP_APART)
+    packed = P.pack(items, P.CAPACITY, most_sources=MOST_SOURCES)
     return packed.withColumn("from_token", F.col("part_no").cast("bigint") * P.CAPACITY)
 
 
@@ -72,18 +72,40 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return P.fill_report(p8_containers(spark, d))
 
 
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return M.mix(count_tokens(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mix_targets"))
+def _sizes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return M.countable(count_tokens(table(spark, d, "documents"), ["doc_id", "source"])), table(spark, d, "mix_targets")
 
 
 def p9_selection(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, source, pass_no, tokens of the mix."""
-    return _mixed(spark, d)[0]
+    """doc_id, source, pass_no, block, place, tokens of the mix with the target shares, as large as the limits allow."""
+    return M.mix(*_sizes(spark, d))[0]
+
+
+def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """As p9_selection, of natural shares tempered to the entropy of the target shares."""
+    docs, targets = _sizes(spark, d)
+    return M.mix(docs, targets, target_entropy=_entropy(targets))[0]
+
+
+def _entropy(targets: DataFrame) -> float:
+    x = F.col("target_share")
+    return targets.filter("target_share > 0").agg(-F.sum(x * F.log(x))).first()[0] or 0.0
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Per source the wanted and the reached share, the budget and the repeats."""
-    return _mixed(spark, d)[1]
+    """Per way of mixing and source the weight, the bisected exponent, the reached share and the repeats.
+
+    Ways: ``shares`` (target shares, greatest total), ``entropy`` (natural shares tempered to the entropy of the targets) and
+    ``total`` (half as many tokens as all documents have, as near to the target shares as the limits allow).
+    """
+    docs, targets = _sizes(spark, d)
+    everything = docs.agg(F.sum("tokens")).first()[0] or 0
+    ways = {"shares": {}, "entropy": {"target_entropy": _entropy(targets)}, "total": {"total": everything / 2}}
+    out = None
+    for way, how in ways.items():
+        report = M.mix(docs, targets, **how)[1].select(F.lit(way).alias("way"), "*")
+        out = report if out is None else out.unionByName(report)
+    return out
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,5 +118,5 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return I.redact(docs, I.personal_information(docs))
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p1_found": p1_found, "p6_found": p6_found, "p6_learnt": p6_learnt, "p6_unmatched": p6_unmatched}
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_tempered": p9_tempered, "p9_shares": p9_shares, "p1_found": p1_found, "p6_found": p6_found, "p6_learnt": p6_learnt, "p6_unmatched": p6_unmatched}
 SQL: dict[str, str] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,15 +28,20 @@ def encoder(path: str):
     return _loaded[path]
 
 
+_SPACE = re.compile(r"[ \n]")
+
+
 def pieces(text: str) -> list[str]:
-    """The text cut before white space about every ``PIECE`` characters; joined they are the text."""
+    """The text cut before white space about every ``PIECE`` characters; joined they are the text. What has no white space is one piece."""
     out, at = [], 0
     while len(text) - at > PIECE:
         cut = max(text.rfind(" ", at + 1, at + PIECE), text.rfind("\n", at + 1, at + PIECE))
-        cut = cut if cut > at else at + PIECE
+        if cut <= at:
+            m = _SPACE.search(text, at + PIECE)
+            cut = m.start() if m else len(text)
         out.append(text[at:cut])
         at = cut
-    return [*out, text[at:]]
+    return [*out, text[at:]] if at < len(text) else out
 
 
 def count_tokens(docs: DataFrame, keep: list[str], path: str = TOKENIZER) -> DataFrame:

@@ -1,5 +1,6 @@
 """The operators tagged llm against brute force and literals."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -135,7 +136,7 @@ def test_packing(spark):
     rng = random.Random(6)
     items = [(i, 0, rng.randrange(1, 100), rng.choice(["a", "b", None, "hot"]), rng.choice([1, 1, None, i])) for i in range(600)] + [(9999, 0, 100, "a", None), (9998, 0, 0, "a", None), (9997, 0, None, "a", None)]
     df = spark.createDataFrame(items, "doc_id bigint, part_no int, size int, source string, cluster bigint")
-    got = packing.pack(df, 100, [("a", "b")], shard_items=200).collect()
+    got = packing.pack(df, 100, [("a", "b")], 2, shard_items=200).collect()
     by = {i[0]: i for i in items}
     assert sorted(r.doc_id for r in got) == sorted(i for i, _, s, _, _ in items if s)
     bins = {}
@@ -144,10 +145,15 @@ def test_packing(spark):
     for members in bins.values():
         assert sum(m[2] for m in members) <= 100
         copies = [m[4] for m in members if m[4] is not None]
-        assert len(copies) == len(set(copies)) and not {"a", "b"} <= {m[3] for m in members}
+        assert len(copies) == len(set(copies)) and not {"a", "b"} <= {m[3] for m in members} and len({m[3] for m in members}) <= 2
     assert packing.pack(df.limit(0), 100).count() == 0
 
 
+def test_copies_of_one_text_are_packed_in_time():
+    items = [(i, 1 + i % 50, 0, 0) for i in range(20_000)]
+    assert len(packing.best_fit(items, 100, {})) == 20_000
+
+
 def test_split_long(spark):
     df = spark.createDataFrame([(1, 250), (2, 100), (3, 0)], "doc_id bigint, tokens bigint")
     assert sorted((r.doc_id, r.part_no, r.from_token, r["size"]) for r in packing.split_long(df, 100).collect()) == [(1, 0, 0, 100), (1, 1, 100, 100), (1, 2, 200, 50), (2, 0, 0, 100)]
@@ -166,12 +172,31 @@ def test_mix(spark):
     rng = random.Random(7)
     docs = [(i, s, rng.randrange(5, 40)) for i, s in enumerate(["big"] * 900 + ["small"] * 60 + ["none"] * 10)] + [(5000, None, 9), (5001, "big", 0)]
     t = [("big", 0.5, 1), ("small", 0.5, 3), ("absent", 0.0, 2), (None, 0.1, 1)]
-    sel, rep = mixing.mix(spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint"), spark.createDataFrame(t, "source string, target_share double, max_repeats int"))
+    docs = mixing.countable(spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint"))
+    sel, rep = mixing.mix(docs, spark.createDataFrame(t, "source string, target_share double, max_repeats int"))
     rows, report = sel.collect(), {r.source: r for r in rep.collect()}
     assert len({(r.doc_id, r.pass_no) for r in rows}) == len(rows) and {r.source for r in rows} == {"big", "small"}
     assert report["small"].repeats == 3 and report["big"].actual_share == pytest.approx(0.5, abs=0.01) and report["absent"].selected == 0
 
 
+def test_mixes_by_temperature_keep_limits_and_order(spark):
+    rng = random.Random(9)
+    docs = mixing.countable(spark.createDataFrame([(i, s, rng.randrange(5, 40)) for i, s in enumerate(["a"] * 2000 + ["b"] * 300 + ["c"] * 80)], "doc_id bigint, source string, tokens bigint"))
+    targets = spark.createDataFrame([("a", 0.2, 2), ("b", 0.3, 3), ("c", 0.5, 4)], "source string, target_share double, max_repeats int")
+    size = docs.groupBy().sum("tokens").first()[0]
+    for how in ({}, {"target_entropy": 1.0}, {"total": float(size)}, {"total": 10.0 * size}):
+        sel, rep = mixing.mix(docs, targets, block_records=100, **how)
+        rows, report = sel.collect(), rep.collect()
+        assert all(r.repeats <= r.max_repeats and abs(r.actual_share - r.weight) < 0.005 for r in report)
+        assert len({r.exponent for r in report}) == 1 and (not how) == (report[0].exponent == 1.0)
+        assert len({(r.doc_id, r.pass_no) for r in rows}) == len(rows)
+        blocks = {}
+        for r in rows:
+            blocks.setdefault((r.source, r.pass_no, r.block), []).append(r.place)
+        assert all(sorted(p) == list(range(1, len(p) + 1)) and len(p) < 300 for p in blocks.values()) and len(blocks) > 5
+    assert abs(mixing.entropy({r.source: r.weight for r in mixing.mix(docs, targets, target_entropy=1.0)[1].collect()}) - 1.0) < 1e-6
+
+
 def test_personal_information(spark):
     rng = random.Random(8)
     firsts, lasts = "Anna Boris Clara Dmitri Elsa Farid Greta Hugo".split(), "Ulmholt Stenmar Drainko Quarescu Brinlund Kortveld Mezwright Pellanza".split()
@@ -195,7 +220,19 @@ def test_pieces_join_to_the_text():
     from kennelflow.llm.tokens import pieces
 
     text = "word  " * 20_000 + "y" * 50_000
-    assert "".join(pieces(text)) == text
+    assert "".join(pieces(text)) == text and "y" * 50_000 in pieces(text)[-1]
+
+
+def test_pieces_keep_the_count(spark):
+    from kennelflow.llm import tokens
+
+    if not os.path.exists(tokens.TOKENIZER):
+        pytest.skip("no tokenizer file")
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["Rex ", "runs\n", "  ", "x" * 30_000, "año", ". "]) for _ in range(300)) for _ in range(4)]
+    whole = [len(tokens.encoder(tokens.TOKENIZER).encode(t, add_special_tokens=False).ids) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9, None), (10, "")], "i int, text string")
+    assert [r.tokens for r in tokens.count_tokens(df, ["i"]).orderBy("i").collect()] == [*whole, 0, 0]
 
 
 def test_plan_of_nothing():
