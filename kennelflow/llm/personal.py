@@ -90,6 +90,8 @@ _GAP = re.compile(r"(\.?)([^\S\n]{1,3})(?!\s)")
 _COMMA = re.compile(r", ?(?!\s)")
 _BREAK = re.compile(r"[\n/;,()<>.!?]")
 _NEXT = re.compile(r"\s+([^\W\d_]+)")
+_EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_BEFORE = re.compile(_TOKEN.pattern.replace("(?<!\\w)", "(?<!\\w)(", 1) + r")\s+$")
 # What may be an address or an email although the grammar doesn't know it.
 _LOOSE_ADDRESS = re.compile(r"(?<![\w#/.,:-])\d{1,6}[A-Z]?[^\S\n](?:[A-Z][\w'’]*[^\S\n]){1,2}([A-Z][\w'’]+)")
 _LOOSE_EMAIL = re.compile(r"(?<![\w.@])[A-Za-z0-9][\w.+-]*\s?@\s?[A-Za-z][\w-]*(?:\s?\.\s?[\w-]+)*")
@@ -222,7 +224,7 @@ class FamilyNames(dict):
     def __missing__(self, word: str) -> bool:
         if len(self) > 500_000:
             self.clear()
-        bare = re.sub(r"^[\W\d_]+|[\W\d_]+$", "", word)
+        bare = _EDGES.sub("", word)
         self[word] = known = len(bare) > 3 and bare.islower() and self.holds(family(bare))
         return known
 
@@ -231,15 +233,16 @@ class FamilyNames(dict):
         return bool(self.slots[k >> 3] & 1 << (k & 7))
 
 
-def lower_candidates(text: str, taken: Taken, names: FamilyNames) -> list[tuple[int, int, str, str, str]]:
+def lower_candidates(text: str, names: FamilyNames) -> list[tuple[int, int, str, str, str]]:
     """As ``name_candidates``: pairs of words in lower case of which the second may be a known family name."""
     out = []
-    last = None
-    for m in _TOKEN.finditer(text):
-        w = m[0]
-        if last and w.islower() and len(w) > 3 and last[0] not in _STOP and last[0].islower() and text[last.end() : m.start()].isspace() and names.holds(family(w)) and taken.free(last.start(), m.end()):
-            out.append((last.start(), m.end(), "lower", last[0], family(w)))
-        last = m
+    for w in {_EDGES.sub("", x) for x in text.split() if names[x]}:
+        j = text.find(w)
+        while j >= 0:
+            m = _BEFORE.search(text, max(0, j - 60), j)
+            if m and m[1].islower() and m[1] not in _STOP and not text[j + len(w) : j + len(w) + 1].isalnum():
+                out.append((m.start(1), j + len(w), "lower", m[1], family(w)))
+            j = text.find(w, j + len(w))
     return out
 
 
@@ -250,9 +253,7 @@ def family(word: str) -> str:
 
 def cased(text: str) -> bool:
     """Written in both cases, so that capitals tell something."""
-    up = sum(c.isupper() for c in text)
-    low = sum(c.islower() for c in text)
-    return low > up
+    return sum(map(str.islower, text)) > sum(map(str.isupper, text))
 
 
 def email_words(address: str) -> set[str]:
@@ -449,7 +450,7 @@ def personal_information(docs: DataFrame) -> DataFrame:
     judged = cand.join(scored.select(*key, "o", *[f"e{k}" for k in range(len(_NODES))]), on).select(cand["*"], "o", *[f"e{k}" for k in range(len(_NODES))])
 
     # second reading, of texts with a known family name in lower case only
-    known = judged.filter(F.col("learns") & (F.col("graph") == "name") & (F.col("o") >= GOOD)).select(F.col("f3").alias("name")).distinct()
+    known = judged.filter(F.col("learns") & (F.col("graph") == "name") & (F.col("e3") >= CLEAR) & _accepted()).select(F.col("f3").alias("name")).distinct()
     slots = _slots(known)
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -457,9 +458,9 @@ def personal_information(docs: DataFrame) -> DataFrame:
         for b in it:
             out = []
             for doc, text in zip(b.doc_id, b.text):
-                if any(map(names.__getitem__, text.split())):
-                    for i, j, form, first, last in lower_candidates(text, Taken(spans(text)), names):
-                        out.append((doc, "name", form, i, j, False, *_features(text, i, j), first, last))
+                if any(map(names.__getitem__, text.split())) and (found := lower_candidates(text, names)):
+                    taken = Taken(spans(text))
+                    out += [(doc, "name", form, i, j, False, *_features(text, i, j), first, last) for i, j, form, first, last in found if taken.free(i, j)]
             yield pd.DataFrame(out, columns=_CANDIDATE)
 
     lower = _hashes(docs.mapInPandas(read, _schema(docs))).withColumns({"o": F.lit(0.0), "seed": F.lit(False)})
