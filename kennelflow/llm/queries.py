@@ -33,6 +33,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("gid").alias("canonical_dog_id"), rows.alias("r")).select("canonical_dog_id", "r.*").filter("listing_id is not null")
 
 
+#: Fields of a surviving record besides its text and pictures.
+SURVIVING = ["name", "sex", "breed_raw", "age_raw", "weight_raw", "color_raw", "city"]
+
+
+def p1_golden(spark: SparkSession, d: str) -> DataFrame:
+    """One surviving record per dog with the listing that each value comes from; sources of higher priority come first."""
+    cols = ["canonical_dog_id", "source_id", "description", "photo_urls", "last_seen_at", *SURVIVING]
+    rank = F.array_position(F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical")]), F.col("priority")).cast("int")
+    sources = table(spark, d, "adoption_sources").filter("id is not null").groupBy(F.col("id").alias("source_id")).agg(F.max(rank).alias("priority"))
+    rows = latest_rows(table(spark, d, "dog_listings"), "id", "updated_at", cols).join(sources, "source_id", "left")
+    return V.golden_records(rows.withColumnsRenamed({"canonical_dog_id": "gid", "description": "text", "photo_urls": "urls", "last_seen_at": "seen_at"}), SURVIVING)
+
+
 def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = latest_rows(table(spark, d, "dog_listings"), "id", "updated_at", ["canonical_dog_id", "breed_raw", "breed_normalized", "color_raw"]).withColumnRenamed("canonical_dog_id", "gid")
     breeds = C.reference_names(table(spark, d, "ref_breeds"), "breed", "breed_id", "breed_name", "also_known_as")
@@ -118,5 +131,5 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return I.redact(docs, I.personal_information(docs))
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_tempered": p9_tempered, "p9_shares": p9_shares, "p1_found": p1_found, "p6_found": p6_found, "p6_learnt": p6_learnt, "p6_unmatched": p6_unmatched}
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_tempered": p9_tempered, "p9_shares": p9_shares, "p1_found": p1_found, "p1_golden": p1_golden, "p6_found": p6_found, "p6_learnt": p6_learnt, "p6_unmatched": p6_unmatched}
 SQL: dict[str, str] = {}

@@ -27,7 +27,7 @@ def test_survivors(spark):
         (1, "a", "Rex", b1 + "\n\n" + GENERAL, ["https://h/aa-1.jpg", "https://h/aa-1_thumb.jpg?w=3"], T0 + timedelta(1)),
         (1, "b", "REX", "<p>" + b1 + "</p>", ["https://h/aa-1.jpg", "https://k/aa-2.jpg"], T0),
         (1, "c", "Rex", GENERAL, None, T0 + timedelta(9)),
-        (1, "d", "Rex", b1[:70], ["https://h/placeholder.svg"], T0 + timedelta(9)),
+        (1, "d", "Rex", b1[:70], ["https://h/shared-1_small.jpg"], T0 + timedelta(9)),
         (1, "e", "Rex", "tbd", [], T0 + timedelta(9)),
         (2, "f", None, b2, None, None),
         (2, "g", None, None, [None, ""], T0),
@@ -39,6 +39,26 @@ def test_survivors(spark):
     assert survivors.survivors(spark.createDataFrame([], MEMBERS)).count() == 0
 
 
+def test_short_cut_copies_and_list_sizes_give_one_result(spark):
+    full = "rex is a shy boy. he is ok. go see him. he naps by the old tree all day."
+    rows = [(1, "a", "Rex", full, None, T0), (1, "b", "Rex", "rex is a shy boy. he is ok. go see him.", None, T0 + timedelta(9)), (2, "c", "Ada", "ada is a shy girl. she is ok. go see.", None, T0), (2, "d", None, None, None, T0)]
+    rows += [(g, f"x{g}", f"Dog{g}", GENERAL, None, T0) for g in range(100, 140)]
+    df = spark.createDataFrame(rows, MEMBERS)
+    assert {r.gid: r.text_id for r in survivors.survivors(df).collect()} == {1: "a", 2: "c"}
+    w = df.select("gid", "id", "name", "text")
+    some, none = ({tuple(r) for r in survivors.text_worth(w, n).collect()} for n in (10_000, 0))
+    assert some == none and {x[3] for x in some if x[1].startswith("x")} == {""}
+    for head in (5, 30, 400):
+        assert {r.id for r in survivors.cut_copies(survivors.text_worth(w), head).filter("complete").collect()} == {"a", "c"}
+
+
+def test_golden_records(spark):
+    schema = MEMBERS + ", priority int, sex string"
+    rows = [(1, "a", "Rex", None, None, T0, 1, "male"), (1, "b", "REX", None, ["https://h/q-1.jpg"], T0 + timedelta(1), 3, " "), (1, "c", None, None, None, T0 + timedelta(2), None, "female"), (2, "d", "Solo", None, None, T0, 1, "male"), (None, "e", None, None, None, None, None, None)]
+    got = [r.asDict() for r in survivors.golden_records(spark.createDataFrame(rows, schema), ["name", "sex"]).collect()]
+    assert got == [{"gid": 1, "members": 3, "text": None, "text_id": None, "urls": ["https://h/q-1.jpg"], "urls_id": "b", "name": "REX", "name_id": "b", "sex": "male", "sex_id": "a"}]
+
+
 NAMES = [(1, "Labrador Retriever", ["Lab"]), (2, "Golden Retriever", []), (3, "Pit Bull", []), (4, "Fox Terrier", []), (5, "Boston Terrier", ["Boston"]), (6, "Standard Poodle", []), (None, "Nothing", []), (7, None, ["Nobody"]), (8, " ", None)]
 VALUES = {
     "Retriever, Golden mix": {2},
