@@ -1,12 +1,15 @@
 """Complete radius joins of points on a sphere.
 
-Plan: the distinct positions of the points are split into the Voronoi cells of a set of pivots; each
-query is copied to every cell that the triangle inequality cannot rule out; within a cell, chunks of
-bounded size are searched with a vantage-point tree under the great-circle metric. Hits are pairs of
-positions, which are joined back to the rows, so a position shared by a third of all rows is searched once.
-
-Pivots come from a sample of at most ``PIVOT_SAMPLE`` positions. They only decide how the work is split;
-every row is assigned, and which pairs come out doesn't depend on them.
+Plan: the distinct positions of the points are split into the Voronoi cells of pivots, as many as there are chunks of
+positions; above ``FLAT`` pivots in two levels, so that a position is compared with few of them. Each query is copied to
+every cell that the triangle inequality cannot rule out (distance to the pivot at most its radius and the cell's reach).
+A cell with many positions or many queries is cut into parts by its own counts, so positions are copied only where a
+cell has more queries than one task takes. Within a part a vantage-point tree under the great-circle metric is searched
+for all queries at once. Hits are pairs of positions, which are joined back to the rows; a position that very many rows
+share is searched once and its rows are joined in salted parts.
+
+Pivots come from a random sample of ``PER_PIVOT`` positions a pivot. They only decide how the work is split; every row is
+assigned, and which pairs come out doesn't depend on them. What the driver holds is a row a pivot.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from pyspark.sql import functions as F
 from kennelflow.io import cut_lineage
 
 EARTH_MI = 3958.7613
-PIVOT_SAMPLE = 4096
-PIVOTS = 64
-#: Positions in one task's tree, queries in one task.
-CHUNK, QUERY_CHUNK = 20_000, 20_000
+#: Positions in one task's tree, queries in one task: their product bounds the pairs that a task returns.
+CHUNK, QUERY_CHUNK = 10_000, 1_000
+#: Pivots at most and at least, those compared at once, and positions sampled for each.
+MOST_PIVOTS, LEAST_PIVOTS, FLAT, PER_PIVOT = 16_384, 64, 256, 16
+#: Rows of one position that are joined as one.
+HOT_ROWS = 100_000
 LEAF = 32
 
 
@@ -78,22 +83,51 @@ class VPTree:
         self.nodes.append((v, d[near[0]], d[near[-1]], a, d[far[0]], d[far[-1]], b))
         return len(self.nodes) - 1
 
-    def within(self, q: np.ndarray, r: float) -> np.ndarray:
-        """Ids of the points at most r from q; a margin of rounding is left to the caller's exact test."""
-        hits, stack = [], [self.root]
+    def within(self, qs: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, point) at most r[query] apart, and some more in the leaves: the exact test is the caller's.
+
+        All queries that reach a node are compared with its vantage point in one pass.
+        """
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        stack = [(self.root, np.arange(len(qs)))]
         while stack:
-            node = self.nodes[stack.pop()]
+            at, ids = stack.pop()
+            node = self.nodes[at]
             if node[0] is None:
-                hits.append(node[1])
+                hits.append((np.repeat(ids, len(node[1])), np.tile(node[1], len(ids))))
                 continue
             v, n0, n1, a, f0, f1, b = node
-            d = float(great_circle(self.points[v], q))
-            hits.append(np.array([v]))
-            if n0 - r <= d <= n1 + r:
-                stack.append(a)
-            if f0 - r <= d <= f1 + r:
-                stack.append(b)
-        return np.concatenate(hits) if hits else np.empty(0, dtype=int)
+            d = great_circle(qs[ids], self.points[v])
+            hits.append((ids, np.full(len(ids), v)))
+            for lo, hi, child in ((n0, n1, a), (f0, f1, b)):
+                some = ids[(lo - r[ids] <= d) & (d <= hi + r[ids])]
+                if len(some):
+                    stack.append((child, some))
+        return np.concatenate([x for x, _ in hits]), np.concatenate([x for _, x in hits])
+
+
+class Pivots:
+    """Pivots in one or two levels: ``cell`` gives each unit vector the nearest pivot of the nearest group."""
+
+    def __init__(self, sample: np.ndarray, n: int, flat: int = FLAT) -> None:
+        if n <= flat or len(sample) <= flat:
+            self.top = spread_pivots(sample, n)
+            self.sub = [self.top[[k]] for k in range(len(self.top))]
+        else:
+            self.top = spread_pivots(sample, int(np.ceil(np.sqrt(n))))
+            group = (sample @ self.top.T).argmax(axis=1)
+            self.sub = [spread_pivots(sample[group == k], max(1, round(n * (group == k).mean()))) for k in range(len(self.top))]
+        self.start = np.concatenate([[0], np.cumsum([len(x) for x in self.sub])])
+        self.centers = np.concatenate(self.sub)
+
+    def cell(self, u: np.ndarray) -> np.ndarray:
+        group = (u @ self.top.T).argmax(axis=1)
+        out = self.start[group].copy()
+        for k in np.unique(group):
+            if len(self.sub[k]) > 1:
+                at = group == k
+                out[at] += (u[at] @ self.sub[k].T).argmax(axis=1)
+        return out
 
 
 def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_MI) -> np.ndarray:
@@ -102,75 +136,82 @@ def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_MI) -> np.ndarray:
     return 2 * radius * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
 
 
-def radius_pairs(points: DataFrame, queries: DataFrame, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
-    """All pairs of a query and a position within the query's radius.
-
-    ``points``: lat, lon (distinct, usable). ``queries``: qid, qlat, qlon, radius (usable; radius in miles,
-    not null; below 0 matches nothing). Returns qid, lat, lon. Empty inputs give no rows.
-    """
-    sample = points.select("lat", "lon").limit(PIVOT_SAMPLE).toPandas()
-    centers = spread_pivots(unit(sample.lat.to_numpy(), sample.lon.to_numpy()), pivots)
+def cut_into_tasks(points: DataFrame, queries: DataFrame, chunk: int = CHUNK, query_chunk: int = QUERY_CHUNK, least_pivots: int = LEAST_PIVOTS, flat: int = FLAT) -> DataFrame:
+    """Positions and queries with the task (cell, part, qpart) in which they meet: every pair that may be near meets in one."""
+    spark = points.sparkSession
+    total = points.count()
+    n = int(min(MOST_PIVOTS, max(least_pivots, -(-total // chunk))))
+    share = min(1.0, 1.2 * n * PER_PIVOT / max(1, total))
+    sample = points.select("lat", "lon").sample(share, seed=1).limit(2 * n * PER_PIVOT).toPandas()
+    pivots = Pivots(unit(sample.lat.to_numpy(), sample.lon.to_numpy()), n, flat)
 
     def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             if len(b):
                 u = unit(b.lat.to_numpy(), b.lon.to_numpy())
-                cell = (u @ centers.T).argmax(axis=1)
-                yield b.assign(cell=cell.astype("int32"), away=great_circle(u, centers[cell]))
+                cell = pivots.cell(u)
+                yield b.assign(cell=cell.astype("int32"), away=great_circle(u, pivots.centers[cell]))
 
     placed = cut_lineage(points.select("lat", "lon").mapInPandas(assign, "lat double, lon double, cell int, away double"))
     # one row a pivot comes to the driver
-    stats = {r["cell"]: (r["n"], r["reach"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("reach")).collect()}
-    cells = np.array(sorted(stats), dtype=int)
-    reach = np.array([stats[c][1] for c in cells])
-    parts = {int(c): max(1, -(-stats[c][0] // chunk)) for c in cells}
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("reach")).toPandas().sort_values("cell")
+    cells, reach = stats.cell.to_numpy(), stats.reach.to_numpy()
+    centers = pivots.centers[cells] if len(cells) else np.empty((0, 3))
 
     def replicate(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             if not len(b) or not len(cells):
                 continue
             u = unit(b.qlat.to_numpy(), b.qlon.to_numpy())
-            for c, far in zip(cells, reach):
+            for k, c in enumerate(cells):
                 # triangle inequality: a point of the cell within r of q has its pivot within r + reach
-                near = b[great_circle(u, centers[c]) <= b.radius.to_numpy() + far + 1e-6]
-                for part in range(parts[int(c)] if len(near) else 0):
-                    yield near.assign(cell=np.int32(c), part=np.int32(part))
+                near = b[great_circle(u, centers[k]) <= b.radius.to_numpy() + reach[k] + 1e-6]
+                if len(near):
+                    yield near.assign(cell=np.int32(c))
+
+    q = cut_lineage(queries.select("qid", "qlat", "qlon", "radius").mapInPandas(replicate, "qid bigint, qlat double, qlon double, radius double, cell int"))
+    asked = q.groupBy("cell").count().toPandas()
+    sizes = stats.merge(asked.rename(columns={"count": "q"}), on="cell")
+    sizes = sizes.assign(parts=-(-sizes.n // chunk), qparts=-(-sizes.q // query_chunk))[["cell", "parts", "qparts"]].astype("int32")
+    # a row a pivot
+    cuts = F.broadcast(spark.createDataFrame(sizes, "cell int, parts int, qparts int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = placed.join(cuts, "cell").withColumn("part", F.pmod(F.xxhash64("lat", "lon"), F.col("parts")).cast("int")).withColumn("qpart", every("qparts"))
+    p = p.select("cell", "part", "qpart", F.lit(True).alias("is_point"), F.lit(None).cast("bigint").alias("qid"), "lat", "lon", F.lit(None).cast("double").alias("radius"))
+    q = q.join(cuts, "cell").withColumn("qpart", F.pmod(F.xxhash64("qid"), F.col("qparts")).cast("int")).withColumn("part", every("parts"))
+    q = q.select("cell", "part", "qpart", F.lit(False).alias("is_point"), "qid", F.col("qlat").alias("lat"), F.col("qlon").alias("lon"), "radius")
+
+    return p.unionByName(q)
+
+
+def radius_pairs(points: DataFrame, queries: DataFrame, **sizes: int) -> DataFrame:
+    """All pairs of a query and a position within the query's radius.
 
-    q = queries.select("qid", "qlat", "qlon", "radius").mapInPandas(replicate, "qid bigint, qlat double, qlon double, radius double, cell int, part int")
-    sizes = F.create_map(*[x for c in parts for x in (F.lit(c), F.lit(parts[c]))]) if parts else None
-    part = F.pmod(F.xxhash64("lat", "lon"), sizes[F.col("cell")]).cast("int") if parts else F.lit(0)
-    p = placed.select("cell", part.alias("part"), F.lit(True).alias("is_point"), F.lit(None).cast("bigint").alias("qid"), "lat", "lon", F.lit(None).cast("double").alias("radius"))
-    tagged = p.unionByName(q.select("cell", "part", F.lit(False).alias("is_point"), "qid", F.col("qlat").alias("lat"), F.col("qlon").alias("lon"), "radius"))
+    ``points``: lat, lon (distinct, usable). ``queries``: qid, qlat, qlon, radius (usable; radius in miles,
+    not null; below 0 matches nothing). Returns qid, lat, lon. Empty inputs give no rows. ``sizes`` as of ``cut_into_tasks``.
+    """
 
     def search(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         pts, qs = group[group.is_point], group[~group.is_point]
+        if not len(pts) or not len(qs):
+            return pd.DataFrame({"qid": np.empty(0, "int64"), "lat": np.empty(0), "lon": np.empty(0)})
         lat, lon = pts.lat.to_numpy(), pts.lon.to_numpy()
-        found: list[tuple[int, np.ndarray]] = []
-        if len(pts) and len(qs):
-            tree = VPTree(unit(lat, lon))
-            us = unit(qs.lat.to_numpy(), qs.lon.to_numpy())
-            for qid, qa, qo, r, u in zip(qs.qid.to_numpy(), qs.lat.to_numpy(), qs.lon.to_numpy(), qs.radius.to_numpy(), us):
-                ids = tree.within(u, r + 1e-6)
-                if len(ids):
-                    ids = ids[haversine(qa, qo, lat[ids], lon[ids]) <= r]
-                    if len(ids):
-                        found.append((qid, ids))
-        all_ids = np.concatenate([i for _, i in found]) if found else np.empty(0, dtype=int)
-        return pd.DataFrame({"qid": np.repeat(np.array([x for x, _ in found], dtype="int64"), [len(i) for _, i in found]), "lat": lat[all_ids], "lon": lon[all_ids]})
-
-    # many queries of one place go to different tasks as well: each has the same tree, none has all queries
-    salted = _salt_queries(tagged, queries, parts)
-    return salted.groupBy("cell", "part", "qpart").applyInPandas(search, "qid bigint, lat double, lon double")
-
-
-def _salt_queries(tagged: DataFrame, queries: DataFrame, parts: dict[int, int]) -> DataFrame:
-    n = max(1, -(-queries.count() // QUERY_CHUNK))
-    if n == 1:
-        return tagged.withColumn("qpart", F.lit(0))
-    return tagged.withColumn("qpart", F.explode(F.when(F.col("is_point"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int")))))
-
-
-def within_radius(rows: DataFrame, queries: DataFrame) -> DataFrame:
+        tree = VPTree(unit(lat, lon))
+        qlat, qlon, r, qid = qs.lat.to_numpy(), qs.lon.to_numpy(), qs.radius.to_numpy(), qs.qid.to_numpy().astype("int64")
+        u = unit(qlat, qlon)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(qs), 100):
+            k, ids = tree.within(u[at : at + 100], r[at : at + 100] + 1e-6)
+            k = k + at
+            good = haversine(qlat[k], qlon[k], lat[ids], lon[ids]) <= r[k]
+            out.append((k[good], ids[good]))
+        k, ids = (np.concatenate([x[i] for x in out]) for i in (0, 1))
+        return pd.DataFrame({"qid": qid[k], "lat": lat[ids], "lon": lon[ids]})
+
+    return cut_into_tasks(points, queries, **sizes).groupBy("cell", "part", "qpart").applyInPandas(search, "qid bigint, lat double, lon double")
+
+
+def within_radius(rows: DataFrame, queries: DataFrame, hot_rows: int = HOT_ROWS, **sizes: int) -> DataFrame:
     """Every (qid, id) with the row's position within the query's radius on the great circle.
 
     ``rows``: id, lat, lon; ``queries``: qid bigint, qlat, qlon, radius. Rows or queries with a null id,
@@ -182,5 +223,14 @@ def within_radius(rows: DataFrame, queries: DataFrame) -> DataFrame:
     r = r.filter(F.col("id").isNotNull() & usable(F.col("lat"), F.col("lon"))).withColumns({"lat": F.col("lat") + 0.0, "lon": F.col("lon") + 0.0})
     q = queries.select(F.col("qid").cast("bigint").alias("qid"), *[F.col(c).cast("double").alias(c) for c in ("qlat", "qlon", "radius")])
     q = q.filter(F.col("qid").isNotNull() & usable(F.col("qlat"), F.col("qlon")) & F.col("radius").isNotNull() & ~F.isnan("radius"))
-    hits = radius_pairs(r.select("lat", "lon").distinct(), q)
-    return hits.join(r, ["lat", "lon"]).select("qid", "id")
+    r = cut_lineage(r)
+    seen = cut_lineage(r.groupBy("lat", "lon").agg(F.count("*").alias("n")))
+    hits = radius_pairs(seen.select("lat", "lon"), q, **sizes)
+    # positions of very many rows: at most rows / hot_rows of them
+    hot = seen.filter(F.col("n") > hot_rows).select("lat", "lon", F.ceil(F.col("n") / hot_rows).cast("int").alias("_salts"))
+    if hot.isEmpty():
+        return hits.join(r, ["lat", "lon"]).select("qid", "id")
+    hot = F.broadcast(hot)
+    salted = r.join(hot, ["lat", "lon"], "left").withColumn("_salt", F.pmod(F.xxhash64("id"), F.coalesce("_salts", F.lit(1))).cast("int"))
+    spread = hits.join(hot, ["lat", "lon"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    return spread.join(salted, ["lat", "lon", "_salt"]).select("qid", "id")

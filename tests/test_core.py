@@ -80,13 +80,14 @@ def test_snapshots_of_empty_tables(spark):
     assert snapshots.attribute_history(sdf, rdf, ["a", "b"]).count() == 0
 
 
-def test_radius_join_equals_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 20, "query_chunk": 3, "least_pivots": 12, "flat": 4, "hot_rows": 30}])
+def test_radius_join_equals_brute_force(spark, sizes):
     rng = np.random.default_rng(1)
     pts = [(f"l{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(33, 36, 300), rng.uniform(-120, -117, 300)))]
     pts += [("east", 51.9, 179.99), ("west", 51.9, -179.99), ("null", None, 1.0), ("zero", 0.0, 0.0), ("far", 91.0, 0.0), ("pole", 90.0, 10.0)] + [(f"same{i}", 34.0, -118.0) for i in range(200)]
     qs = [(i, float(a), float(b), float(r)) for i, (a, b, r) in enumerate(zip(rng.uniform(33, 36, 40), rng.uniform(-120, -117, 40), rng.uniform(0, 60, 40)))]
     qs += [(100, 51.9, -179.999, 5.0), (101, 34.0, -118.0, 0.0), (102, 90.0, -50.0, 1.0), (103, 34.0, -118.0, None), (104, None, 1.0, 5.0), (105, 34.0, -118.0, -1.0)]
-    got = {(r.qid, r.id) for r in nearness.within_radius(spark.createDataFrame(pts, "id string, lat double, lon double"), spark.createDataFrame(qs, "qid bigint, qlat double, qlon double, radius double")).collect()}
+    got = {(r.qid, r.id) for r in nearness.within_radius(spark.createDataFrame(pts, "id string, lat double, lon double"), spark.createDataFrame(qs, "qid bigint, qlat double, qlon double, radius double"), **sizes).collect()}
     want = set()
     for q, a, b, r in qs:
         for i, x, y in pts:
@@ -97,6 +98,14 @@ def test_radius_join_equals_brute_force(spark):
     assert nearness.within_radius(empty, spark.createDataFrame(qs, "qid bigint, qlat double, qlon double, radius double")).count() == 0
 
 
+def test_positions_are_copied_only_where_a_cell_has_many_queries(spark):
+    here, there = [(34 + i / 1000, -118.0) for i in range(60)], [(45 + i / 1000, -90.0) for i in range(60)]
+    pts = spark.createDataFrame(here + there, "lat double, lon double")
+    qs = spark.createDataFrame([(i, 34.0, -118.0, 10.0) for i in range(100)] + [(500, 45.0, -90.0, 10.0)], "qid bigint, qlat double, qlon double, radius double")
+    t = nearness.cut_into_tasks(pts, qs, query_chunk=5, least_pivots=2).filter("is_point").groupBy("lat").count().collect()
+    assert {r["count"] for r in t if r.lat < 40} == {20} and {r["count"] for r in t if r.lat > 40} == {1}
+
+
 @pytest.mark.parametrize(
     "field,text,want",
     [
