@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kennelflow.functions.text import same_text_key
+from kennelflow.io import cut_lineage
 
 COMPLETE = ("success", "success_with_warnings")
 
@@ -72,10 +73,11 @@ def snapshot_changes(snapshots: DataFrame, runs: DataFrame, compared: Sequence[s
     cols = ["pair", "source_id", "listing_key", *compared]
     new = rows.filter("prev_run_id is not null").withColumn("pair", F.col("run_id"))
     old = rows.filter("next_run_id is not null").withColumn("pair", F.col("next_run_id"))
-    rest = except_all_both_ways(new, old, cols)
     key = ["pair", "source_id", "listing_key"]
-    a = rest.filter("n > 0").select(*key, F.lit(True).alias("in_new"))
-    b = rest.filter("n < 0").select(*key, F.lit(True).alias("in_old"))
+    # kept once without the contents, since both sides of the join read it
+    rest = cut_lineage(except_all_both_ways(new, old, cols).select(*key, (F.col("n") > 0).alias("is_new")))
+    a = rest.filter("is_new").select(*key, F.lit(True).alias("in_new"))
+    b = rest.filter("not is_new").select(*key, F.lit(True).alias("in_old"))
     kind = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").otherwise("changed")
     return a.join(b, key, "full_outer").select(F.col("pair").alias("run_id"), "source_id", "listing_key", kind.alias("change_kind"))
 
