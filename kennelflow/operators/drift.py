@@ -13,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kennelflow.io import cut_lineage
@@ -45,32 +45,44 @@ def leaves(value: dict, prefix: str = "") -> Iterator[tuple[str, str | None, str
                 yield path, "string", v
 
 
-def path_values(records: DataFrame) -> DataFrame:
-    """Readable records as feed, file_no, record_no, vals: map<path, struct<type, value>>.
+def read_records(records: DataFrame) -> DataFrame:
+    """Every record as feed, file_no, record_no, captured_at, problem, vals: map<path, struct<type, value>>.
 
-    Payloads that are null, cut or no objects are unreadable and left out, as are records without feed or
-    file number. Of a key twice in an object the last counts. Nesting of any depth is read without recursion
-    of ours; what the JSON parser itself refuses is unreadable. Extra columns are ignored.
+    ``problem`` is null for a readable record; else ``null`` (no payload), ``cut`` (no JSON) or ``no object``, and vals is null. Records
+    without feed or file number are left out; a null record number is -1. Of a key twice in an object the last counts. Nesting of any
+    depth is read without recursion of ours; what the JSON parser itself refuses is cut. Extra columns are ignored.
     """
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             out = []
-            for feed, no, rec, payload in zip(b.feed, b.file_no, b.record_no, b.payload):
+            for *key, payload in zip(b.feed, b.file_no, b.record_no, b.captured_at, b.payload):
+                o, problem = None, None
                 try:
-                    o = json.loads(payload)
+                    o = json.loads(payload) if payload is not None else None
+                    problem = "null" if payload is None else None if isinstance(o, dict) else "no object"
                 except (ValueError, TypeError, RecursionError):
-                    continue
-                if isinstance(o, dict):
-                    found = list({p: (p, t, v) for p, t, v in leaves(o)}.values())
-                    out.append((feed, no, rec, [p for p, _, _ in found], [t for _, t, _ in found], [v for _, _, v in found]))
-            yield pd.DataFrame(out, columns=["feed", "file_no", "record_no", "paths", "types", "texts"])
-
-    src = records.filter("feed is not null and file_no is not null and payload is not null")
-    src = src.select("feed", F.col("file_no").cast("int").alias("file_no"), F.coalesce(F.col("record_no").cast("int"), F.lit(-1)).alias("record_no"), "payload")
-    rows = src.mapInPandas(parse, "feed string, file_no int, record_no int, paths array<string>, types array<string>, texts array<string>")
+                    problem = "cut"
+                found = [] if problem else list({p: (p, t, v) for p, t, v in leaves(o)}.values())
+                out.append((*key, problem, *([x[k] for x in found] for k in range(3))))
+            yield pd.DataFrame(out, columns=["feed", "file_no", "record_no", "captured_at", "problem", "paths", "types", "texts"])
+
+    at = F.col("captured_at").cast("timestamp") if "captured_at" in records.columns else F.lit(None).cast("timestamp")
+    src = records.filter("feed is not null and file_no is not null")
+    src = src.select("feed", F.col("file_no").cast("int").alias("file_no"), F.coalesce(F.col("record_no").cast("int"), F.lit(-1)).alias("record_no"), at.alias("captured_at"), "payload")
+    rows = src.mapInPandas(parse, "feed string, file_no int, record_no int, captured_at timestamp, problem string, paths array<string>, types array<string>, texts array<string>")
     entries = F.arrays_zip(F.col("types").alias("type"), F.col("texts").alias("value"))
-    return rows.select("feed", "file_no", "record_no", F.map_from_arrays("paths", entries).alias("vals"))
+    return rows.select("feed", "file_no", "record_no", "captured_at", "problem", F.when(F.col("problem").isNull(), F.map_from_arrays("paths", entries)).alias("vals"))
+
+
+def path_values(records: DataFrame) -> DataFrame:
+    """The readable records: feed, file_no, record_no, captured_at, vals."""
+    return read_records(records).filter("problem is null").drop("problem")
+
+
+def unreadable(records: DataFrame) -> DataFrame:
+    """feed, file_no, record_no, problem, n: the records that give no row, with the number of times they were delivered so."""
+    return read_records(records).filter("problem is not null").groupBy("feed", "file_no", "record_no", "problem").agg(F.count("*").alias("n"))
 
 
 def path_types(rows: DataFrame) -> DataFrame:
@@ -111,11 +123,12 @@ def renames(rows: DataFrame, changes: DataFrame, pairs: DataFrame) -> DataFrame:
     typed = rows.select("feed", "file_no", F.explode("vals").alias("path", "v")).filter("v.value is not null").select("feed", "file_no", "path", "v.type", F.xxhash64("v.value").alias("h"))
     wanted = typed.join(lists.select("feed").distinct(), "feed", "left_semi")
     held = cut_lineage(wanted.groupBy("feed", "path", "h", "file_no").agg(F.count("*").alias("n"), F.max("type").alias("type")))
-    files = held.groupBy("feed", "path", "h").agg(F.collect_set("file_no").alias("files"))
 
     # the identifying field of a pair of files: nearly all values differ, and most were there before
-    by_file = held.join(lists.select(*pair), ["feed", "file_no"]).join(files, ["feed", "path", "h"])
-    key = by_file.groupBy(*pair, "path").agg(F.sum("n").alias("n"), F.count("*").alias("different"), F.count_if(F.array_contains("files", F.col("prev_no"))).alias("before"), F.max("type").alias("type"))
+    by_file = held.join(lists.select(*pair), ["feed", "file_no"])
+    old = held.select("feed", "path", "h", F.col("file_no").alias("prev_no"), F.lit(True).alias("was"))
+    by_file = by_file.join(old, ["feed", "path", "h", "prev_no"], "left")
+    key = by_file.groupBy(*pair, "path").agg(F.sum("n").alias("n"), F.count("*").alias("different"), F.count("was").alias("before"), F.max("type").alias("type"))
     key = key.filter("type in ('string', 'number') and before >= 3 and different * 2 >= n and before * 4 >= different")
     best = F.max(F.struct((F.col("before") / F.col("different")).alias("share"), "different", "path"))
     keys = key.groupBy(*pair).agg(best.alias("b")).select(*pair, F.col("b.path").alias("key_path"))
@@ -178,14 +191,8 @@ def report_of(rows: DataFrame) -> DataFrame:
     return plain.unionByName(ren.select("feed", "file_no", F.lit("renamed").alias("change_kind"), "old_path", "new_path"))
 
 
-def consistent_table(records: DataFrame) -> DataFrame:
-    """All readable records with fields under their first name and in one type each.
-
-    Returns feed, file_no, record_no, field, type, text, number, flag, cast_failed. A field's type is that of
-    most of its values over all files (ties: the first by name); ``cast_failed`` tells values that are not of it.
-    """
-    rows = cut_lineage(path_values(records))
-    ren = report_of(rows).filter("change_kind = 'renamed'")
+def field_names(ren: DataFrame) -> DataFrame:
+    """feed, path, since, known: from which file on a path stands for the field that was first called ``known``."""
 
     def chains(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         # one feed's renames in file order: few rows, one for each renamed field and file
@@ -197,13 +204,76 @@ def consistent_table(records: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["feed", "since", "path", "field"])
 
     names = ren.groupBy("feed").applyInPandas(chains, "feed string, since int, path string, field string")
-    names = names.groupBy("feed", "path").agg(F.min(F.struct("since", "field")).alias("m")).select("feed", "path", "m.since", F.col("m.field").alias("known"))
+    return names.groupBy("feed", "path").agg(F.min(F.struct("since", "field")).alias("m")).select("feed", "path", "m.since", F.col("m.field").alias("known"))
+
+
+def one_version(rows: DataFrame) -> DataFrame:
+    """Repeats of a record (files delivered twice as well) as one row: the last captured, of equal ones the greater content."""
+    text = F.to_json("vals")
+    last = rows.groupBy("feed", "file_no", "record_no", F.when(F.col("record_no") < 0, F.xxhash64(text)).alias("_one")).agg(F.max_by("vals", F.struct("captured_at", text)).alias("vals"))
+    return last.select("feed", "file_no", "record_no", "vals")
+
+
+def typed_values(rows: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(feed, file_no, record_no, field, raw, text; feed, field, type): values under their first names, and each field's type.
+
+    A field's type is that of most of its values over all files (ties: the first by name).
+    """
     vals = rows.select("feed", "file_no", "record_no", F.explode("vals").alias("path", "v")).filter("v.type is not null")
     named = vals.join(names, ["feed", "path"], "left").select("feed", "file_no", "record_no", F.when(F.col("file_no") >= F.col("since"), F.col("known")).otherwise(F.col("path")).alias("field"), F.col("v.type").alias("raw"), F.col("v.value").alias("text"))
     counts = named.groupBy("feed", "field", "raw").agg(F.count("*").alias("n"))
-    types = counts.groupBy("feed", "field").agg(F.min_by("raw", F.struct(-F.col("n"), "raw")).alias("type"))
+    return named, counts.groupBy("feed", "field").agg(F.min_by("raw", F.struct(-F.col("n"), "raw")).alias("type"))
+
+
+def _cast(text: Column, kind: str) -> Column:
+    return {"number": text.try_cast("double"), "boolean": F.lower(text).try_cast("boolean")}.get(kind, text)
+
+
+def _failed(raw: Column, text: Column, kind: Column) -> Column:
+    number, flag = _cast(text, "number").isNull(), _cast(text, "boolean").isNull()
+    return ((kind == "number") & number) | ((kind == "boolean") & flag) | ((kind == "array") & (raw != "array"))
+
+
+def failed_casts(records: DataFrame) -> DataFrame:
+    """feed, file_no, record_no, field, type, raw, text: values that ``consistent_table`` can't give in their field's type."""
+    kept = cut_lineage(path_values(records))
+    named, types = typed_values(one_version(kept), field_names(report_of(kept).filter("change_kind = 'renamed'")))
     t = named.join(types, ["feed", "field"])
-    number = F.when(F.col("type") == "number", F.col("text").try_cast("double"))
-    flag = F.when(F.col("type") == "boolean", F.lower("text").try_cast("boolean"))
-    failed = ((F.col("type") == "number") & number.isNull()) | ((F.col("type") == "boolean") & flag.isNull()) | ((F.col("type") == "array") & (F.col("raw") != "array"))
-    return t.select("feed", "file_no", "record_no", "field", "type", "text", number.alias("number"), flag.alias("flag"), failed.alias("cast_failed"))
+    return t.filter(_failed(F.col("raw"), F.col("text"), F.col("type"))).select("feed", "file_no", "record_no", "field", "type", "raw", "text")
+
+
+#: Fields that ``consistent_table`` makes columns of; more raise an error.
+FIELDS_MOST = 5_000
+
+
+def consistent_table(records: DataFrame) -> DataFrame:
+    """One row a readable record, with a typed column for every field of all feeds under its first name.
+
+    Columns: feed, file_no, record_no, then the fields in order of name; dots become ``__``. Numbers are double, flags boolean, strings and
+    arrays (as JSON) string. A path that feeds type differently has a column a feed (``<feed>__<path>``), as has one that differs
+    from another only in case. What can't be cast is null and in ``failed_casts``. Only names and types go to the driver.
+    """
+    kept = cut_lineage(path_values(records))
+    names = cut_lineage(field_names(report_of(kept).filter("change_kind = 'renamed'")))
+    rows = one_version(kept)
+    fields = typed_values(rows, names)[1].limit(FIELDS_MOST + 1).collect()
+    if len(fields) > FIELDS_MOST:
+        raise ValueError(f"more than {FIELDS_MOST} fields")
+    renamed: dict[tuple[str, str], list[tuple[str, int]]] = {}
+    since: dict[tuple[str, str], int] = {}
+    for r in names.collect():
+        renamed.setdefault((r.feed, r.known), []).append((r.path, r.since))
+        since[r.feed, r.path] = r.since
+    kinds: dict[str, set[tuple[str, str]]] = {}
+    for f in fields:
+        kinds.setdefault(f.field.lower(), set()).add((f.field, f.type))
+    columns: dict[str, Column] = {}
+    no = F.col("file_no")
+    for f in sorted(fields, key=lambda f: (f.field, f.feed)):
+        own = F.col("vals")[f.field]["value"]
+        of = F.when(no < since[f.feed, f.field], own) if (f.feed, f.field) in since else own
+        texts = [of, *[F.when(no >= n, F.col("vals")[p]["value"]) for p, n in sorted(renamed.get((f.feed, f.field), []))]]
+        value = F.when(F.col("feed") == f.feed, _cast(F.coalesce(*texts), f.type))
+        name = f.field.replace(".", "__") if len(kinds[f.field.lower()]) == 1 else f"{f.feed}__{f.field}".replace(".", "__")
+        columns[name] = F.coalesce(columns[name], value) if name in columns else value
+    return rows.select("feed", "file_no", "record_no", *[c.alias(n) for n, c in columns.items()])

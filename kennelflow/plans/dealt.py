@@ -68,7 +68,15 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return D.consistent_table(table(spark, d, "feed_records"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p2_found": p2_found, "p4_found": p4_found, "p4_amounts": p4_amounts, "p3_found": p3_found, "p3_new_dogs": p3_new_dogs, "p7_found": p7_found}
+def p5_failed_casts(spark: SparkSession, d: str) -> DataFrame:
+    return D.failed_casts(table(spark, d, "feed_records"))
+
+
+def p5_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    return D.unreadable(table(spark, d, "feed_records"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p5_failed_casts": p5_failed_casts, "p5_unreadable": p5_unreadable, "p2_found": p2_found, "p4_found": p4_found, "p4_amounts": p4_amounts, "p3_found": p3_found, "p3_new_dogs": p3_new_dogs, "p7_found": p7_found}
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -92,6 +100,8 @@ p3 as (select coalesce(n.run_id, o.run_id) as run_id, coalesce(n.source_id, o.so
   where o.run_id is null or n.run_id is null or {" or ".join(f"n.{c} <> o.{c}" for c in COMPARED)})"""
 
 SQL = {
+    "p5_unreadable": """select feed, file_no, coalesce(record_no, -1) as record_no, case when payload is null then 'null' when not json_valid(payload) then 'cut' else 'no object' end as problem, count(*) as n
+from feed_records where feed is not null and file_no is not null and not coalesce(json_valid(payload) and json_type(case when json_valid(payload) then payload end) = 'OBJECT', false) group by all""",
     "p2_found": """with l as (select id, latitude, longitude from dog_listings qualify row_number() over (partition by id order by updated_at desc) = 1),
 w as (select id, latitude, longitude, try_cast(json_extract_string(parsed, '$.maxDistanceMiles') as double) as radius from watches)
 select w.id as watch_id, l.id as listing_id from w join l on

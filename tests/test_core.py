@@ -160,8 +160,15 @@ def test_drift(spark):
     df = spark.createDataFrame(rows, "feed string, file_no int, file_name string, record_no int, payload string")
     got = {tuple(r) for r in drift.drift_report(df).select("file_no", "change_kind", "old_path", "new_path").collect()}
     assert got == {(2, "renamed", "state", "info.status"), (3, "removed", "ok", ""), (3, "added", "", "views"), (3, "added", "", "note"), (3, "type_changed", "size.kg", "size.kg")}
-    t = drift.consistent_table(df)
-    assert t.filter("field = 'state'").count() >= 90 and t.filter("field = 'info.status'").count() == 0
+    more = df.unionByName(spark.createDataFrame([("f", 3, "f3", 200, '{"id": 7, "size": {"kg": "heavy"}, "info": {"status": "IN"}}'), ("g", 1, "g1", 1, '{"ID": "x"}'), ("g", 1, "g1", None, '{"ID": "y"}'), ("g", 1, "g1", None, '{"ID": "y"}')], df.schema))
+    t = drift.consistent_table(more)
+    assert t.columns == ["feed", "file_no", "record_no", "g__ID", "f__id", "name", "ok", "size__kg", "state", "views"]
+    got = t.collect()
+    assert len(got) == 93 and len({(r.feed, r.file_no, r.record_no, r.g__ID) for r in got}) == 93
+    assert sum(r.state is not None for r in got) == 91 and sum(r.size__kg is not None for r in got) == 90 and all(r.ok in (None, True) for r in got)
+    assert dict(t.dtypes)["size__kg"] == "double" and [(r.record_no, r.field, r.text) for r in drift.failed_casts(more).collect()] == [(200, "size.kg", "heavy")]
+    assert sorted((r.record_no, r.problem, r.n) for r in drift.unreadable(df).collect()) == [(97, "no object", 1), (98, "null", 1), (99, "cut", 1)]
+    assert drift.consistent_table(df.limit(0)).count() == 0
     assert drift.drift_report(df.limit(0)).count() == 0
 
 
