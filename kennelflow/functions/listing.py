@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from kennelflow.functions.text import clean_text, squish
 
+# Mean radius of the earth in miles, days of a month, pounds of a kilogram.
 EARTH_MI = 3958.7613
 DAYS_A_MONTH = 30.44
+LBS_A_KG = 2.20462
 
-#: Shelters' short forms of breeds.
+# shelters' short forms of breeds.
 BREED_ALIASES = {
     "germ shepherd": "german shepherd",
     "german shepherd dog": "german shepherd",
@@ -55,6 +57,50 @@ BREED_ALIASES = {
     "st bernard": "saint bernard",
 }
 
+# Short forms of colours.
+COLOR_ALIASES = {
+    "blk": "black",
+    "bk": "black",
+    "wht": "white",
+    "wh": "white",
+    "brn": "brown",
+    "br": "brown",
+    "choc": "chocolate",
+    "gray": "gray",
+    "grey": "gray",
+    "gr": "gray",
+    "slvr": "silver",
+    "yel": "yellow",
+    "gold": "golden",
+    "bld": "blonde",
+    "rd": "red",
+    "org": "orange",
+    "crm": "cream",
+    "brdl": "brindle",
+    "tri color": "tricolor",
+    "tri": "tricolor",
+}
+# Names that stand for none.
+PLACEHOLDER_NAMES = ["unknown", "no name", "noname", "unnamed", "puppy", "pup", "dog", "stray", "n/a", "pending"]
+# Addresses and sizes of pictures that show no animal.
+PLACEHOLDER_PHOTO = r"(?i)no[-_ ]?(image|pic|photo)|nopic|placeholder|default[-_.]|image[-_ ]?coming|(photo|image|coming)[-_ ]?soon|generic\.(svg|png|jpe?g)"
+PLACEHOLDER_SIZES = [(160, 120), (232, 246), (515, 347)]
+# Status words in the order in which they count, first match first.
+STATUS_RULES = [
+    ("rescue_only", r"rescue\s*only|rescue-only"),
+    ("stray_hold", r"stray\s*(wait|hold)"),
+    ("medical_hold", r"medical|med\s*hold|vet\s*hold"),
+    ("adopted", r"adopt(ed|ion complete)"),
+    ("pending", r"pend"),
+    ("hold", r"\bhold\b|^id hold|other hold|behavior hold|evidence"),
+    ("foster", r"foster"),
+    ("not_available", r"not\s*(currently\s*)?available|unavailable|no longer"),
+    ("available", r"^in shelter$"),
+    ("available", r"rtgh|ready to go home|available|adoptable|^adopt$|^av\b|^avail"),
+]
+# Months of the age buckets, pounds of the size bands.
+AGE_BUCKETS = [("puppy", 12), ("young", 36), ("adult", 96)]
+
 
 def half_up(c: Column, k: float = 1) -> Column:
     """floor(x * k + 0.5) / k."""
@@ -68,12 +114,13 @@ def first_case(*rules: tuple[Column, object], otherwise: object = None) -> Colum
 
 
 def age_bucket(months: Column) -> Column:
-    return F.when(months.isNull(), None).when(months < 12, "puppy").when(months < 36, "young").when(months < 96, "adult").otherwise("senior")
+    return F.when(months.isNull(), None).when(months < AGE_BUCKETS[0][1], "puppy").when(months < AGE_BUCKETS[1][1], "young").when(months < AGE_BUCKETS[2][1], "adult").otherwise("senior")
 
 
 def months_between_dates(since: Column, at: Column) -> Column:
-    """Whole months of 30.44 days, at least 0."""
-    return F.greatest(F.lit(0), half_up((F.unix_micros(at) - F.unix_micros(since)) / (DAYS_A_MONTH * 86400e6)))
+    """Whole months of 30.44 days, at least 0; null for null."""
+    m = half_up((F.unix_micros(at) - F.unix_micros(since)) / (DAYS_A_MONTH * 86400e6))
+    return F.when(m < 0, 0).otherwise(m)
 
 
 def loose_date(c: Column) -> Column:
@@ -93,48 +140,147 @@ def loose_date(c: Column) -> Column:
     return F.get(F.transform(ymd, lambda s: date(s["y"], s["m"], s["d"])), F.lit(0))
 
 
+def first_number(t: Column, rx: str, group: int = 1) -> Column:
+    """The captured figure of the first match as double; null without one."""
+    return F.nullif(F.regexp_extract(t, rx, group), F.lit("")).try_cast("double")
+
+
+_N = r"([0-9]+(?:\.[0-9]+)?)"
+
+
+def age_from_text(c: Column, at: Column) -> Column:
+    """struct<months int, bucket string> of an age in words and figures; each step counts only where those before say nothing.
+
+    A birth date gives the age at ``at``; a range of years its middle; "under n" no months, but a puppy up to one year; "n+" n;
+    else years, months, weeks and days are rounded one by one and summed (0 says nothing); a bare figure of one or two digits is
+    years. A life stage in words decides the bucket whatever the figures say, but for birth dates and bare figures.
+    """
+    t = F.lower(squish(c))
+    born = months_between_dates(loose_date(F.regexp_extract(t, r"(?:dob|born|date of birth)[:\s]*([0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4})", 1)).cast("timestamp"), at).cast("int")
+    word = first_case((t.rlike(r"\bpupp(y|ies)\b"), "puppy"), (t.rlike(r"\bsenior\b"), "senior"), (t.rlike(r"\byoung\b"), "young"), (t.rlike(r"\badult\b"), "adult"))
+    years = r"\s*(?:years?|yrs?)\b"
+    rng = half_up((first_number(t, rf"{_N}\s*-\s*{_N}{years}", 1) + first_number(t, rf"{_N}\s*-\s*{_N}{years}", 2)) / 2 * 12).cast("int")
+    under = first_number(t, rf"under\s+{_N}\s*(?:years?|yrs?|y)\b")
+    plus = half_up(first_number(t, rf"{_N}\s*\+{years}") * 12).cast("int")
+    parts = [
+        half_up(first_number(t, rf"{_N}\s*(?:years?|yrs?|y)\b") * 12),
+        half_up(first_number(t, rf"{_N}\s*(?:months?|mths?|mos?|m)\b")),
+        half_up(first_number(t, rf"{_N}\s*(?:weeks?|wks?|w)\b") * 7 / DAYS_A_MONTH),
+        half_up(first_number(t, rf"{_N}\s*(?:days?)\b") / DAYS_A_MONTH),
+    ]
+    stated = F.coalesce(*parts).isNotNull()
+    total = reduce(lambda x, y: x + y, [F.coalesce(p, F.lit(0.0)) for p in parts]).cast("int")
+    bare = (first_number(t, r"^([0-9]{1,2})$") * 12).cast("int")
+
+    def pair(months: Column, bucket: Column) -> Column:
+        return F.struct(months.cast("int").alias("months"), bucket.alias("bucket"))
+
+    none = F.lit(None).cast("int")
+    return (
+        F.when(t.isNull() | (t == ""), pair(none, F.lit(None).cast("string")))
+        .when(born.isNotNull(), pair(born, age_bucket(born)))
+        .when(rng.isNotNull(), pair(rng, F.coalesce(word, age_bucket(rng))))
+        .when(under.isNotNull(), pair(none, F.coalesce(word, F.when(under <= 1, "puppy"))))
+        .when(plus.isNotNull(), pair(plus, F.coalesce(word, age_bucket(plus))))
+        .when(stated & (total <= 0), pair(none, word))
+        .when(stated, pair(total, F.coalesce(word, age_bucket(total))))
+        .when(bare.isNotNull(), pair(bare, age_bucket(bare)))
+        .otherwise(pair(none, word))
+    )
+
+
+def weight_from_text(c: Column) -> Column:
+    """Pounds to one decimal: kilograms before pounds before a bare figure. What else is written says nothing."""
+    t = F.lower(squish(c))
+    kg = first_number(t, rf"{_N}\s*(?:kg|kilos?|kilograms?)\b") * LBS_A_KG
+    lb = first_number(t, rf"{_N}\s*(?:(?:lbs?|pounds?)\b|#\b)")
+    return half_up(F.coalesce(kg, lb, first_number(t, rf"^{_N}$")), 10)
+
+
 def sex_of(c: Column) -> Column:
-    t = F.lower(c)
-    return first_case((t.rlike(r"(?:^|[^a-z])(?:spayed )?f(?:emale)?(?:[^a-z]|$)|female|girl"), "female"), (t.rlike(r"(?:^|[^a-z])m(?:ale)?(?:[^a-z]|$)|male|boy"), "male"), otherwise="unknown")
+    """'female', 'male' or 'unknown'; null is unknown."""
+    t = F.coalesce(F.lower(squish(c)), F.lit(""))
+    return first_case((t.rlike(r"female|^f\b") | (t.rlike(r"\bf\b") & t.contains("spayed")) | (F.startswith(t, F.lit("f")) & t.contains("spayed")), "female"), (t.rlike(r"\bmale\b|^m\b"), "male"), otherwise="unknown")
 
 
 def altered(c: Column) -> Column:
-    """Tri-state: spayed or neutered, intact, not said."""
-    t = F.lower(c)
-    return first_case((t.rlike("spay|neuter|altered") & ~t.rlike("not |un"), True), (t.rlike("intact|unaltered|not (?:spay|neuter)"), False))
+    """Spayed or neutered: true, false (intact) or null where the text says neither."""
+    t = F.coalesce(F.lower(squish(c)), F.lit(""))
+    return first_case((t.rlike("(spayed|neutered|altered|desexed|fixed)"), True), (t.rlike(r"\bintact\b|unaltered"), False))
 
 
 def size_of(raw: Column, lbs: Column) -> Column:
-    t = F.lower(raw)
-    named = first_case((t.rlike(r"x-?large|extra large|giant|xl"), "xlarge"), (t.rlike(r"large|^l$|lg"), "large"), (t.rlike(r"med|^m$"), "medium"), (t.rlike(r"small|^s$|toy|tiny"), "small"))
-    return F.coalesce(named, F.when(lbs < 26, "small").when(lbs <= 60, "medium").when(lbs <= 99, "large").when(lbs > 99, "xlarge"), F.lit("unknown"))
+    """The size class that a text names, else that of the weight, else null."""
+    t = F.coalesce(F.lower(squish(raw)), F.lit(""))
+    named = first_case(
+        (t.rlike(r"x[-\s]?large|extra[-\s]?large|\bxl\b|giant"), "xlarge"), (t.rlike(r"\blarge\b|\blg\b|\bl\b"), "large"), (t.rlike(r"\bmed(ium)?\b|\bm\b"), "medium"), (t.rlike(r"\bsmall\b|\bsm\b|\bs\b|\btoy\b|\bmini\b"), "small")
+    )
+    return F.coalesce(named, F.when(lbs < 26, "small").when(lbs <= 60, "medium").when(lbs <= 99, "large").when(lbs > 99, "xlarge"))
 
 
 def title_name(c: Column) -> Column:
     """'*BISCUIT-BEAR* (A123456)' -> 'Biscuit-Bear'; only wholly upper-case names change case."""
-    t = clean_text(F.regexp_replace(F.regexp_replace(c, r"\(A\d+\)\s*$", ""), r"\*", ""))
+    t = squish(F.regexp_replace(squish(c), r"\(([A-Za-z]?[0-9]{4,})\)\s*$", ""))
+    t = clean_text(F.replace(F.regexp_replace(t, r"^\*+|\*+$", ""), F.lit("*"), F.lit(" ")))
     starts = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.when((i == 1) | F.substr(t, i - 1, F.lit(1)).rlike(r"[\s\-'/]"), F.upper(F.substr(t, i, F.lit(1)))).otherwise(F.lower(F.substr(t, i, F.lit(1)))))
     return F.when((t == F.upper(t)) & t.rlike("[A-Z]"), F.array_join(starts, "")).otherwise(t)
 
 
 def placeholder_name(c: Column) -> Column:
+    """True for null, a single character, an id of at least four digits and the words of ``PLACEHOLDER_NAMES``."""
+    t = F.lower(F.trim(c))
+    return c.isNull() | (F.length(t) < 2) | t.rlike(r"^[a-z]?[0-9]{4,}$") | t.isin(*PLACEHOLDER_NAMES)
+
+
+def placeholder_photo(url: Column) -> Column:
+    return F.coalesce(url.rlike(PLACEHOLDER_PHOTO), F.lit(False))
+
+
+def placeholder_size(width: Column, height: Column) -> Column:
+    return F.coalesce(reduce(lambda x, y: x | y, [(width == w) & (height == h) for w, h in PLACEHOLDER_SIZES]), F.lit(False))
+
+
+def status_of(c: Column) -> Column:
+    """One of ten states, by the first of ``STATUS_RULES`` that fits; 'unknown' for the rest and for null. A pending adoption is none yet."""
     t = F.lower(squish(c))
-    return c.isNull() | (F.length(t) < 2) | t.rlike(r"^[a-z]?\d+$|^[a-z]{1,4}-a-\d+$") | t.isin("unknown", "no name", "none", "n/a", "tbd", "unnamed", "puppy", "dog", "stray", "not named")
+    rules = [(t.rlike(rx) & ~t.contains("pend") if name == "adopted" else t.rlike(rx), name) for name, rx in STATUS_RULES]
+    return first_case(*rules, otherwise="unknown")
+
+
+def split_colors(c: Column) -> Column:
+    """'Blk & White/Tan' -> ['black', 'white', 'tan']; an empty list for null."""
+    t = F.coalesce(F.lower(squish(c)), F.lit(""))
+    t = F.regexp_replace(t, r"\s+and\s+|\s*&\s*|\s*-\s*", "/")
+    short = F.create_map(*[F.lit(x) for pair in COLOR_ALIASES.items() for x in pair])
+    parts = F.filter(F.transform(F.split(t, "[/,]"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_distinct(F.transform(parts, lambda p: F.coalesce(F.try_element_at(short, p), p)))
+
+
+def breed_label(c: Column) -> Column:
+    """The breeds of ``breed_tokens`` joined by ' / ', with ' mix' behind a single one that is called a mix; null for none."""
+    t, names = F.lower(squish(c)), breed_tokens(c)
+    mix = t.rlike(r"\bmix(ed)?\b|\bcross\b|\bx\b") & (F.size(names) == 1) & ~t.isin("unknown", "mixed", "mixed breed", "mix")
+    return F.when(F.size(names) > 0, F.concat(F.array_join(names, " / "), F.when(mix, " mix").otherwise("")))
+
+
+def fresh(stale: Column) -> Column:
+    """'fresh' while a record is seen, 'stale' after one miss, 'missing' after more, 'uncertain' where nothing is recorded."""
+    return F.when(stale.isin("available", "still_seen"), "fresh").when(stale == "missing_once", "stale").when(stale.isin("missing_multiple_runs", "likely_unavailable"), "missing").otherwise("uncertain")
 
 
 def breed_tokens(c: Column) -> Column:
     """'Lab Retriever / GSD mix' -> ['labrador retriever', 'german shepherd']; what names no breed but a mix is 'mixed breed'."""
     t = F.coalesce(F.lower(squish(c)), F.lit(""))
-    parts = F.regexp_replace(F.regexp_replace(t, r"\bmix(?:ed)?(?: breed)?\b", ""), r"\bcross\b|\s+and\s+|&", "/")
+    parts = F.regexp_replace(F.regexp_replace(t, r"\bmix(ed)?( breed)?\b", ""), r"\bcross\b|\s+and\s+|\s*&\s*", "/")
     short = F.create_map(*[F.lit(x) for pair in BREED_ALIASES.items() for x in pair])
     named = F.filter(F.transform(F.split(parts, "[/,]"), squish), lambda p: p != "")
-    named = F.array_distinct(F.transform(named, lambda p: F.coalesce(F.element_at(short, p), p)))
+    named = F.array_distinct(F.transform(named, lambda p: F.coalesce(F.try_element_at(short, p), p)))
     return F.when(t.isin("unknown", "mixed", "mixed breed", "mix"), F.array(F.lit("mixed breed"))).otherwise(named)
 
 
 def yes_no(c: Column) -> Column:
     t = F.lower(squish(c))
-    return first_case((t.rlike("^(?:yes|y|true|1)"), True), (t.rlike("^(?:no|n|false|0)"), False))
+    return first_case((t.rlike("^(y|yes|true|ok|good)"), True), (t.rlike("^(n|no|false|not)"), False))
 
 
 def days_since(since: Column, at: Column) -> Column:

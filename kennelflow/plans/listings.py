@@ -70,16 +70,6 @@ def _(s, d):
     return listings(s, d, "age_months_estimate").groupBy(X.age_bucket(F.col("age_months_estimate")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "size_bands",
-    f"""select id, coalesce(case when regexp_matches(lower(size_raw), 'x-?large|extra large|giant|xl') then 'xlarge' when regexp_matches(lower(size_raw), 'large|^l$|lg') then 'large'
-  when regexp_matches(lower(size_raw), 'med|^m$') then 'medium' when regexp_matches(lower(size_raw), 'small|^s$|toy|tiny') then 'small' end,
-  case when weight_lbs_estimate < 26 then 'small' when weight_lbs_estimate <= 60 then 'medium' when weight_lbs_estimate <= 99 then 'large' when weight_lbs_estimate > 99 then 'xlarge' end, 'unknown') as size from {LATEST}""",
-)
-def _(s, d):
-    return listings(s, d, "size_raw", "weight_lbs_estimate").select("id", X.size_of(F.col("size_raw"), F.col("weight_lbs_estimate")).alias("size"))
-
-
 @query(
     "intake_dates",
     f"""select id, coalesce(case when regexp_matches(intake_date, '^\\d{{4}}-\\d') then date_diff('day', date '1970-01-01', try_cast(intake_date as date))
@@ -326,7 +316,7 @@ def _(s, d):
     """Every listing with the least listing of its dog: shared photos and the rules for equal names."""
     t = listings(s, d, "source_id", "name", "sex", "breed_raw", "breed_normalized", "age_months_estimate", "primary_photo_url")
     name = X.title_name(F.col("name"))
-    placeholder = X.placeholder_name(name) | F.lower(name).isin("noname", "pup", "pending")
+    placeholder = X.placeholder_name(name)
     rows = t.select(
         "id", F.col("source_id").alias("source"), F.lower(name).alias("name"), placeholder.alias("placeholder"), F.lower(F.trim("sex")).alias("sex"),
         X.breed_tokens(F.coalesce("breed_raw", "breed_normalized")).alias("tokens"), F.col("age_months_estimate").alias("age"), F.col("primary_photo_url").alias("photo"),
