@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kennelflow.functions import listing as X
 from kennelflow.io import cut_lineage, latest_rows, table
 from kennelflow.operators import entities as E
-from kennelflow.operators import matching as Q
 from kennelflow.operators import records as R
 
 QUERIES: dict = {}
@@ -326,40 +325,6 @@ def _(s, d):
     return rows.select("id").join(c.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-# criteria matching and ranked search
-
-
-def criteria(spark: SparkSession, d: str) -> DataFrame:
-    """Standing searches as criteria rows; their number is that of the watches."""
-    return Q.parse_criteria(table(spark, d, "watches").filter("active").select("id", "parsed", "latitude", "longitude"))
-
-
-@query("search_matches", f"""with w as (select id as watch_id, from_json(json_extract(parsed, '$.breedIncludes'), '["VARCHAR"]') as breeds, from_json(json_extract(parsed, '$.sizes'), '["VARCHAR"]') as sizes,
-  coalesce(cast(json_extract(parsed, '$.excludePuppies') as boolean), false) as no_puppies, try_cast(json_extract_string(parsed, '$.maxWeightLbs') as double) as max_lbs from watches where active),
-l as (select id, lower(concat_ws(' ', breed_normalized, breed_raw)) as breed, age_months_estimate as months, weight_lbs_estimate as lbs, lower(size_raw) as size from {LATEST}),
-m as (select watch_id, id,
-  case when len(breeds) = 0 then null when breed = '' then 'u' when len(list_filter(breeds, lambda b: contains(breed, lower(b)))) > 0 then 'r' else 'f' end as by_breed,
-  case when not no_puppies then null when months is null then 'u' when months < 12 then 'f' else 'r' end as by_age,
-  case when max_lbs is null then null when lbs is null then 'u' when lbs <= max_lbs then 'r' else 'f' end as by_weight,
-  case when len(sizes) = 0 then null when size is null then 'u' when list_contains(sizes, size) then 'r' else 'f' end as by_size from w, l),
-c as (select watch_id, (coalesce(by_breed = 'r', false))::int + (coalesce(by_age = 'r', false))::int + (coalesce(by_weight = 'r', false))::int + (coalesce(by_size = 'r', false))::int as reasons,
-  (coalesce(by_breed = 'u', false))::int + (coalesce(by_age = 'u', false))::int + (coalesce(by_weight = 'u', false))::int + (coalesce(by_size = 'u', false))::int as unknowns,
-  (coalesce(by_breed = 'f', false))::int + (coalesce(by_age = 'f', false))::int + (coalesce(by_weight = 'f', false))::int + (coalesce(by_size = 'f', false))::int as failures from m)
-select watch_id, cast(count(*) as bigint) as matches, cast(sum(reasons) as bigint) as reasons, cast(sum(unknowns) as bigint) as unknowns from c where failures = 0 group by watch_id""")
-def _(s, d):
-    m = Q.match_all(Q.match_input(listings(s, d, *Q.INPUT)), criteria(s, d))
-    return m.groupBy("watch_id").agg(F.count("*").alias("matches"), F.sum(F.size("reasons")).cast("bigint").alias("reasons"), F.sum(F.size("unknowns")).cast("bigint").alias("unknowns"))
-
-
-@query("watch_alerts")
-def _(s, d):
-    """The 12 best new matches of each watch: scored, not among those first seen before its last notice."""
-    rows = Q.match_input(listings(s, d, *Q.INPUT))
-    w = table(s, d, "watches").select(F.col("id").alias("watch_id"), "last_notified_at")
-    m = Q.match_all(rows, criteria(s, d)).join(w, "watch_id").filter("last_notified_at is null or first_seen_at > last_notified_at")
-    return R.top_per_group(m.filter("photo"), ["watch_id"], Q.ranking(), 12).select("watch_id", "id", "score", "rank")
-
-
 @query("source_registry", "select id, name, adapter_type, enabled from adoption_sources order by id")
 def _(s, d):
     return table(s, d, "adoption_sources").select("id", "name", "adapter_type", "enabled")
