@@ -43,13 +43,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(*kept: DataFrame | None) -> None:
     """Delete tables of ``cut_lineage`` that nothing reads any more."""
     for df in kept:
         if path := getattr(df, "_kept_at", None):
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete_path(df.sparkSession, path)
 
 
 def release_all(spark: SparkSession) -> None:

@@ -19,6 +19,22 @@ def top_per_group(df: DataFrame, key: Sequence[str], order: Sequence[Column], n:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row in the whole order (no two rows may tie), without one task that sorts all rows.
+
+    A range partitioning puts the rows in order; the rows before each partition are added to the place inside it. Kept once, since
+    the partitions are read twice.
+    """
+    from kennelflow.io import cut_lineage
+
+    kept = cut_lineage(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    # a row a partition
+    sizes = kept.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_before")
+    return kept.join(F.broadcast(before), "_p").withColumn(name, place.cast("bigint")).drop("_p", "_before")
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, key: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The stored table after the incoming rows: incoming ones win, but columns in ``keep`` stay as stored."""
     a, b = stored.alias("a"), incoming.alias("b")
@@ -66,6 +82,7 @@ def missed_runs(seen: DataFrame, runs: DataFrame, scope: Sequence[str]) -> DataF
     return j.select(*[F.col(c) for c in seen.columns], missed.cast("int").alias("missed"), F.get("_after", F.lit(0)).alias("missing_since"))
 
 
+# Missed runs from which a record counts as likely gone, missing for several runs and missing once.
 def stale_status(missed: Column, first_time: Column) -> Column:
     return F.when(missed >= 4, "likely_unavailable").when(missed >= 2, "missing_multiple_runs").when(missed == 1, "missing_once").when(first_time, "available").otherwise("still_seen")
 
@@ -76,20 +93,21 @@ def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("filled"), F.col("_total").alias("total")) for c in columns])).alias("f")).select("f.*")
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """edges: a, b -> node, component (the least node). Large-star and small-star rounds until nothing changes.
 
     Each round rewires every node to the least neighbour known, so the number of rounds grows with the
-    logarithm of a component's diameter. A node with a third of all edges is aggregated with partial minima
+    logarithm of a component's diameter; if ``rounds`` do not do, that is an error. A node with a third of all edges is aggregated with partial minima
     and joined back by an exchange that AQE may split.
     """
-    from kennelflow.io import cut_lineage
+    from kennelflow.io import cut_lineage, release
 
     e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut_lineage(e)
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
+    first = e
     for _ in range(rounds):
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -98,7 +116,11 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         nxt = cut_lineage(small)
         same = nxt.count() == e.count() and nxt.exceptAll(e).isEmpty()
+        if e is not first:
+            release(e)
         e = nxt
         if same:
             break
+    else:
+        raise RuntimeError(f"components not complete after {rounds} rounds")
     return nodes.join(e.groupBy("u").agg(F.min("v").alias("component")), nodes.node == F.col("u"), "left").select("node", F.coalesce("component", "node").alias("component"))

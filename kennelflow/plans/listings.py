@@ -192,11 +192,14 @@ def _(s, d):
 
 @query(
     "duplicates_per_entity",
-    f"select canonical_dog_id, count(*) as members, array_to_string(list_sort(list(id)), '|') as ids from {LATEST} where canonical_dog_id is not null group by 1 having count(*) > 1",
+    f"select canonical_dog_id, id, n as members, place from (select canonical_dog_id, id, count(*) over (partition by canonical_dog_id) as n, row_number() over (partition by canonical_dog_id order by id) as place from {LATEST} where canonical_dog_id is not null) where n > 1",
 )
 def _(s, d):
-    g = listings(s, d, "canonical_dog_id").filter("canonical_dog_id is not null").groupBy("canonical_dog_id").agg(F.count("*").alias("members"), F.array_join(F.sort_array(F.collect_list("id")), "|").alias("ids"))
-    return g.filter("members > 1")
+    """A row per member with its place, and not a list per entity, since an entity may have any number of members."""
+    t = listings(s, d, "canonical_dog_id").filter("canonical_dog_id is not null")
+    g = t.groupBy("canonical_dog_id").agg(F.count("*").alias("members")).filter("members > 1")
+    place = F.row_number().over(Window.partitionBy("canonical_dog_id").orderBy("id"))
+    return t.join(g, "canonical_dog_id").select("canonical_dog_id", "id", "members", place.cast("bigint").alias("place"))
 
 
 # windows and top-k
@@ -253,12 +256,25 @@ def _(s, d):
     return R.upsert(old, new, ["id"], keep=["created_at"])
 
 
-@query("change_classes", """select o_orderkey, case when a.o_orderkey is null then 'inserted' when b.o_orderkey is null then 'missing' when a.o_totalprice = b.o_totalprice then 'unchanged' else 'updated' end as outcome from
-  (select * from orders where o_orderkey % 7 <> 0) a full join (select * replace (case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice) from orders where o_orderkey % 11 <> 0) b using (o_orderkey)""")
+_COMPARED = ["name", "breed_raw", "age_raw", "weight_raw", "status_raw"]
+
+
+@query(
+    "change_classes",
+    f"""with r as (select id as run_id, row_number() over (partition by source_id, crawl_scope order by started_at desc, id desc) as back from source_runs where status in ('success', 'success_with_warnings')),
+s as (select back, source_id, listing_key, {", ".join(_COMPARED)} from dog_listing_snapshots join r using (run_id) where back <= 2 qualify row_number() over (partition by run_id, source_id, listing_key order by extracted_at desc) = 1),
+o as (select * from s where back = 2), n as (select * from s where back = 1)
+select source_id, listing_key, case when o.back is null then 'inserted' when n.back is null then 'missing' when {" and ".join(f"o.{c} is not distinct from n.{c}" for c in _COMPARED)} then 'unchanged' else 'updated' end as outcome from o full join n using (source_id, listing_key)""",
+)
 def _(s, d):
-    t = table(s, d, "orders").select("o_orderkey", "o_totalprice")
-    old, new = t.filter("o_orderkey % 7 <> 0"), t.filter("o_orderkey % 11 <> 0").withColumn("o_totalprice", F.expr("case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end"))
-    return R.classify_changes(old, new, ["o_orderkey"], ["o_totalprice"])
+    """The last two complete deliveries of every scope, compared as they are."""
+    w = Window.partitionBy("source_id", "crawl_scope").orderBy(F.desc("started_at"), F.desc("id"))
+    runs = table(s, d, "source_runs").filter(F.col("status").isin(*GOOD)).select(F.col("id").alias("run_id"), F.row_number().over(w).alias("back")).filter("back <= 2")
+    rows = table(s, d, "dog_listing_snapshots").select("run_id", "source_id", "listing_key", "extracted_at", *_COMPARED).join(runs, "run_id")
+    key = ["run_id", "back", "source_id", "listing_key"]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*_COMPARED), "extracted_at").alias("r")).select(*key, "r.*")
+    last = cut_lineage(last)
+    return R.classify_changes(last.filter("back = 2"), last.filter("back = 1"), ["source_id", "listing_key"], _COMPARED)
 
 
 @query("cascade_delete", "select e.event_id from events e where exists (select 1 from customer c where c.c_custkey = e.user_id and c.c_mktsegment <> 'BUILDING')")
@@ -285,20 +301,6 @@ def _(s, d):
     return m.select("id", "missed", "missing_since", R.stale_status(F.col("missed"), F.lit(False)).alias("stale"))
 
 
-@query(
-    "run_guards",
-    """select id, case when status = 'failed' then 'failed' when dogs_found = 0 then 'empty' when prior >= 10 and dogs_found < 0.5 * prior then 'sharp_drop'
-  when total_listings_reported_by_source is not null and total_listings_reported_by_source <> listings_found then 'count_mismatch' else 'ok' end as verdict
-from (select *, lag(dogs_found) over (partition by source_id, crawl_scope order by started_at, id) as prior from source_runs)""",
-)
-def _(s, d):
-    w = Window.partitionBy("source_id", "crawl_scope").orderBy("started_at", "id")
-    t = table(s, d, "source_runs").withColumn("prior", F.lag("dogs_found").over(w))
-    n, p, told = F.col("dogs_found"), F.col("prior"), F.col("total_listings_reported_by_source")
-    verdict = X.first_case((F.col("status") == "failed", "failed"), (n == 0, "empty"), ((p >= 10) & (n < 0.5 * p), "sharp_drop"), (told.isNotNull() & (told != F.col("listings_found")), "count_mismatch"), otherwise="ok")
-    return t.select("id", verdict.alias("verdict"))
-
-
 @query("photo_components", f"""with recursive p as (select distinct id, u from (select id, unnest(photo_urls) as u from {LATEST}) where u is not null),
 rare as (select u from p group by u having count(*) = 2), e as (select min(id) as a, max(id) as b from p join rare using (u) group by u),
 both_ways as (select a, b from e union select b, a from e),
@@ -330,9 +332,15 @@ def _(s, d):
     return table(s, d, "adoption_sources").select("id", "name", "adapter_type", "enabled")
 
 
-@query("geojson", f"select id, cast(latitude as varchar) is not null as has_point from {LATEST} where latitude is not null and longitude is not null")
+@query(
+    "geojson",
+    f"""select id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || cast(cast(floor(longitude * 1e5 + 0.5) as bigint) as varchar) || ',' || cast(cast(floor(latitude * 1e5 + 0.5) as bigint) as varchar) || ']}},"properties":{{"id":' || to_json(id) || ',"name":' || coalesce(to_json(name), 'null') || '}}}}' as feature
+  from {LATEST} where latitude is not null and longitude is not null""",
+)
 def _(s, d):
-    t = listings(s, d, "latitude", "longitude").filter("latitude is not null and longitude is not null")
-    point = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry")))
-    return t.select("id", point.isNotNull().alias("has_point"))
-
+    """A point feature per listing with a place; coordinates in units of 1e-5 degrees, so that every engine writes them alike."""
+    t = listings(s, d, "latitude", "longitude", "name").filter("latitude is not null and longitude is not null")
+    units = lambda c: F.floor(F.col(c) * 1e5 + 0.5)
+    point = F.struct(F.lit("Point").alias("type"), F.array(units("longitude"), units("latitude")).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct("id", "name").alias("properties"))
+    return t.select("id", F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from kennelflow.io import delete_path
 from kennelflow.operators.records import insert_ignore, pick_by, upsert
 
 
@@ -30,7 +31,7 @@ def upsert_stream(incoming: DataFrame, path: str, key: Sequence[str], version: s
     """Every micro-batch is reduced to the latest version of each key and merged into the table at ``path``.
 
     Batches are written as numbered snapshots beside each other, so a batch that is repeated after a
-    failure writes the same snapshot again, from the same one before it.
+    failure writes the same snapshot again, from the same one before it. Older ones are removed.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
@@ -38,6 +39,8 @@ def upsert_stream(incoming: DataFrame, path: str, key: Sequence[str], version: s
         new = pick_by(batch, list(key), [F.desc_nulls_last(version), F.desc(F.xxhash64(*batch.columns))])
         merged = upsert(spark.read.parquet(f"{path}/{n - 1}"), new, key, keep) if n else new
         merged.write.mode("overwrite").parquet(f"{path}/{n}")
+        # a repeated batch needs the snapshot before its own only
+        delete_path(spark, f"{path}/{n - 2}")
 
     return incoming.writeStream.foreachBatch(merge)
 
@@ -54,5 +57,6 @@ def alert_stream(matches: DataFrame, path: str, key: Sequence[str], send: Callab
         ledger = spark.read.parquet(f"{path}/{n - 1}") if n else pairs.limit(0)
         send(batch.join(ledger, list(key), "left_anti"))
         insert_ignore(ledger, pairs, key).write.mode("overwrite").parquet(f"{path}/{n}")
+        delete_path(spark, f"{path}/{n - 2}")
 
     return matches.writeStream.foreachBatch(report)
