@@ -9,21 +9,28 @@ from pyspark.sql import functions as F
 
 
 def parse(text: str | None) -> list[tuple[str, str]]:
-    """(allow or disallow, path pattern) of the group for all agents. Null and empty texts have no rules."""
-    rules: list[tuple[str, str]] = []
-    agents: list[str] = []
-    in_rules = False
+    """(allow or disallow, path pattern) of the first group for all agents. Null and empty texts have no rules."""
+    groups: list[tuple[list[str], list[tuple[str, str]]]] = []
+    open_ = False
     for line in (text or "").splitlines():
-        field, _, value = line.split("#", 1)[0].partition(":")
-        field, value = field.strip().lower(), value.strip()
-        if field == "user-agent":
-            agents = [value] if in_rules else [*agents, value]
-            in_rules = False
-        elif field in ("allow", "disallow"):
-            in_rules = True
-            if "*" in agents and value:
-                rules.append((field, value))
-    return rules
+        name, _, value = line.split("#", 1)[0].partition(":")
+        name, value = name.strip().lower(), value.strip()
+        if name == "user-agent":
+            if not open_:
+                groups.append(([], []))
+            groups[-1][0].append(value)
+            open_ = True
+        elif name in ("allow", "disallow") and groups:
+            open_ = False
+            if value:
+                groups[-1][1].append((name, value))
+    return next((rules for agents, rules in groups if "*" in agents), [])
+
+
+def verdict(path: str, rules: list[tuple[str, str]]) -> tuple[bool, tuple[str, str] | None]:
+    """Whether a path is allowed and the rule that says so: the longest that fits, of equal ones the allowing."""
+    fits = [(len(p), kind == "allow", (kind, p)) for kind, p in rules if re.search(pattern(p), path)]
+    return (max(fits)[1], max(fits)[2]) if fits else (True, None)
 
 
 def pattern(path: str) -> str:
