@@ -14,7 +14,6 @@ Then the criteria themselves are native column arithmetic over the candidates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -164,13 +163,3 @@ def new_matches(matches: DataFrame, ledger: DataFrame, least_score: float = 0.0,
     m = matches.join(ledger.select("watch_id", "id").distinct(), ["watch_id", "id"], "left_anti").filter((F.col("score") >= least_score) & (F.col("freshness") != "missing"))
     m = m.filter("photo") if photo else m
     return m.filter("status = 'available'") if available else m
-
-
-def merge_scores(ranked: DataFrame, scores: DataFrame, key: Sequence[str] = ("watch_id", "id"), gate: float | None = None) -> DataFrame:
-    """``ranked`` (with rank) with given scores first, by score, then the unscored in their order; ``gate`` drops scored ones below it.
-
-    ``scores``: key, fit (null or out of 0..100 is no score). Scores of rows that are not ranked are ignored, as are repeats but the greatest.
-    """
-    fit = scores.filter("fit between 0 and 100").groupBy(*key).agg(F.max("fit").alias("fit"))
-    j = ranked.join(fit, list(key), "left")
-    return j.filter(F.col("fit").isNull() | (F.col("fit") >= gate)) if gate is not None else j

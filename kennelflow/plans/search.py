@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kennelflow.io import cut_lineage, table
 from kennelflow.operators import matching as Q
+from kennelflow.operators import models as O
 from kennelflow.operators import records as R
 from kennelflow.plans.listings import LATEST, listings
 
@@ -105,3 +106,48 @@ def _(s, d):
     text = lambda k: F.nullif(F.array_join(f"c.{k}", "/"), F.lit(""))
     pounds = F.concat(F.lit("to "), F.col("c.maxWeightLbs").cast("bigint").cast("string"), F.lit(" lb"))
     return w.select("watch_id", F.concat_ws(", ", text("breedIncludes"), text("sizes"), F.when(F.col("c.excludePuppies"), "no puppies"), pounds).alias("chips"))
+
+
+def _stub(query: str, candidates: list[dict]) -> dict:
+    """A stand-in for a model that chooses: every candidate of even place."""
+    return {"alerts": [{"id": c["id"], "headline": c["block"]} for c in candidates[1::2]]}
+
+
+_NEW = f"""new as (select m.watch_id, m.id, row_number() over (partition by m.watch_id order by {_ORDER}) as rank from m join (select id as wid, last_notified_at from watches) w on w.wid = m.watch_id
+  where (w.last_notified_at is null or m.first_seen_at > w.last_notified_at) and primary_photo_url is not null and status = 'available' and stale_status in ('available', 'still_seen', 'missing_once') qualify rank <= {ALERTS})"""
+
+
+def _overnight(s: SparkSession, d: str, model=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    new = QUERIES["watch_topn"](s, d).withColumn("block", F.col("id"))
+    requests = table(s, d, "watches").select(F.col("id").alias("watch_id"), "query")
+    return O.overnight(new, requests, new.select("watch_id", "id").limit(0), model)
+
+
+@query("overnight_alerts", f"with {_M}, {_NEW} select watch_id, id, cast(rank as integer) as place from new where rank <= 5")
+def _(s, d):
+    return _overnight(s, d)[0].select("watch_id", "id", "place")
+
+
+@query("overnight_summary", f"with {_M}, {_NEW} select watch_id, count(*) as candidates, least(count(*), 5) as told from new group by 1")
+def _(s, d):
+    return _overnight(s, d)[2]
+
+
+@query("curated_alerts", f"with {_M}, {_NEW} select watch_id, id, cast(rank // 2 as integer) as place, id as headline from new where rank % 2 = 0")
+def _(s, d):
+    """As overnight_alerts, with a deterministic stand-in for the model that chooses."""
+    return _overnight(s, d, _stub)[0].select("watch_id", "id", "place", "headline")
+
+
+@query(
+    "reranked_search",
+    f"""with {_M}, r as (select watch_id, id, row_number() over (partition by watch_id order by {_ORDER}) as rank from m qualify rank <= {SHORTLIST}), f as (select *, case when (rank - 1) % 5 < 3 then length(id) end as fit from r)
+select watch_id, id, cast(row_number() over (partition by watch_id order by fit is null, fit desc, rank) as integer) as place from f""",
+)
+def _(s, d):
+    """The shortlist judged in chunks by a deterministic stand-in: the first three of each chunk fit by the length of their id."""
+    ranked = R.top_per_group(_matches(s, d), ["watch_id"], Q.ranking(), SHORTLIST).select("watch_id", "id", "rank", F.col("id").alias("block"))
+    ranked = cut_lineage(ranked)
+    requests = table(s, d, "watches").select(F.col("id").alias("watch_id"), "query")
+    fits = O.judged(ranked, requests, lambda query, xs: [{"id": x["id"], "score": len(x["id"])} for x in xs[:3]])
+    return O.reranked(ranked, fits).select("watch_id", "id", "place")

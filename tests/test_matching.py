@@ -115,15 +115,11 @@ def test_terms_are_found_anywhere(spark):
     assert {tuple(r) for r in Q.term_hits(texts, terms).collect()} == {("labrador retriever", t) for t in ("lab", "or r", "retriever", "b")} | {("xy", "y"), ("b", "b")}
 
 
-def test_new_matches_and_merged_scores(spark):
+def test_new_matches(spark):
     m = spark.createDataFrame([(1, "a", 2.0, True, "available", "fresh", 1), (1, "b", 1.0, True, "hold", "fresh", 2), (1, "c", 1.0, False, "available", "fresh", 3), (1, "d", 1.0, True, "available", "missing", 4), (1, "e", 0.5, True, "available", "stale", 5)], "watch_id int, id string, score double, photo boolean, status string, freshness string, rank int")
     ledger = spark.createDataFrame([(1, "a"), (1, "a"), (9, "e")], "watch_id int, id string")
     ids = lambda df: sorted(r.id for r in df.collect())
     assert ids(Q.new_matches(m, ledger)) == ["e"] and ids(Q.new_matches(m, ledger, photo=False, available=False)) == ["b", "c", "e"] and ids(Q.new_matches(m, ledger.limit(0), 1.0)) == ["a"]
-    fit = spark.createDataFrame([(1, "e", 90.0), (1, "a", 40.0), (1, "b", 140.0), (1, "zz", 80.0), (1, "c", None)], "watch_id int, id string, fit double")
-    order = [F.col("fit").isNull(), F.desc("fit"), "rank"]
-    assert [r.id for r in Q.merge_scores(m, fit).orderBy(*order).collect()] == ["e", "a", "b", "c", "d"]
-    assert [r.id for r in Q.merge_scores(m, fit, gate=55).orderBy(*order).collect()] == ["e", "b", "c", "d"]
 
 
 def test_far_listings_are_no_alerts(spark):
