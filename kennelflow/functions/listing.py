@@ -308,14 +308,24 @@ def listing_key(animal_id: Column, url: Column) -> Column:
     return F.coalesce(clean_text(animal_id), F.concat(F.lit("url_"), F.substring(F.sha2(url, 256), 1, 16)))
 
 
+# Entities in the order in which they are decoded.
+ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#0?39;", "'"), ("&quot;", '"'), ("&rsquo;|&#8217;", "'"), ("&ldquo;|&rdquo;|&#822[01];", '"'), ("&ndash;|&#8211;", "–"), ("&mdash;|&#8212;", "—")]
+
+
 def html_to_text(c: Column) -> Column:
-    """Line breaks and paragraphs as new lines, other tags dropped, entities decoded (&amp; last), blanks collapsed."""
-    t = F.regexp_replace(c, r"(?i)<br\s*/?>|</p>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
+    """Line breaks as new lines, paragraphs as blank lines, other tags dropped, entities decoded; null for what is empty."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), r"(?i)</p>", "\n\n"), r"<[^>]+>", "")
+    for rx, to in ENTITIES:
+        t = F.regexp_replace(t, rx, to)
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    return F.nullif(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def html_to_prose(c: Column) -> Column:
+    """As ``html_to_text``, but a single line break is a wrapped line and becomes a blank; two or more part paragraphs."""
+    t = F.regexp_replace(c, r"\s+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)(<br\s*/?>\s*){2,}", "</p>"), r"(?i)<br\s*/?>", " ")
+    return F.regexp_replace(html_to_text(t), " {2,}", " ")
 
 
 def excerpt(c: Column, n: int) -> Column:

@@ -223,3 +223,36 @@ def _(s, d):
     at = F.when(own, F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))).when(of, F.struct(F.col("slat").alias("lat"), F.col("slon").alias("lon"))).otherwise(F.coalesce("a1", "a2", "a3", "a4"))
     known_as = F.when(own, F.coalesce("geocode_precision", F.lit("campus"))).when(of, F.coalesce(F.nullif("sprec", F.lit("unknown")), F.lit("campus"))).when(F.coalesce("a1", "a2").isNotNull(), "city").when(F.coalesce("a3", "a4").isNotNull(), "county").otherwise("unknown")
     return j.select("id", at.alias("at"), known_as.alias("precision")).select("id", X.half_up(F.col("at.lat"), 10000).alias("lat"), X.half_up(F.col("at.lon"), 10000).alias("lon"), "precision")
+
+
+# feeds
+
+#: Per kind of feed: path of each field in the payload as first delivered.
+FEED_PATHS = {
+    "available": {"key": "$.nid", "name": "$.name", "species": "$.species", "breed": "$.breed", "breed_2": "$.secondary_breed", "sex": "$.sex", "status": "$.age_group.name"},
+    "search_trimmed": {"key": "$.AnimalId", "name": "$.Name", "species": "$.AnimalType", "breed": "$.Breed.Primary", "breed_2": "$.Breed.Secondary", "sex": "$.Sex", "status": "$.Status"},
+    "pet_sample": {"key": "$.organization_pet.code", "name": "$.organization_pet.name", "species": None, "breed": "$.organization_pet.breed_primary_name", "breed_2": "$.organization_pet.breed_secondary_name", "sex": "$.organization_pet.sex_key", "status": "$.organization_pet.status_key"},
+}
+
+
+def _feed_sql() -> str:
+    pick = lambda f: "case " + " ".join(f"when feed like '{k}%' then json_extract_string(payload, '{p[f]}')" for k, p in FEED_PATHS.items() if p[f]) + " end"
+    fields = ", ".join(f"{pick(f)} as {f}" for f in FEED_PATHS["available"])
+    return f"""with r as (select distinct feed, file_no, record_no, {fields} from feed_records where json_valid(payload))
+select feed, file_no, record_no, key, name, nullif(concat_ws(' / ', breed, breed_2), '') as breed, lower(sex) as sex, status from r where key is not null and (species is null or lower(species) = 'dog')"""
+
+
+@query("feed_listings", _feed_sql())
+def _(s, d):
+    """Dogs of all feeds as one kind of record, by the paths of the first delivery; cut payloads and repeats are left out."""
+    t = table(s, d, "feed_records").filter(F.get_json_object("payload", "$").isNotNull())
+    pick = lambda f: F.coalesce(*[F.when(F.startswith("feed", F.lit(k)), F.get_json_object("payload", p[f])) for k, p in FEED_PATHS.items() if p[f]])
+    r = t.select("feed", "file_no", "record_no", *[pick(f).alias(f) for f in FEED_PATHS["available"]]).distinct()
+    r = r.filter(F.col("key").isNotNull() & (F.col("species").isNull() | (F.lower("species") == "dog")))
+    return r.select("feed", "file_no", "record_no", "key", "name", F.nullif(F.concat_ws(" / ", "breed", "breed_2"), F.lit("")).alias("breed"), F.lower("sex").alias("sex"), "status")
+
+
+@query("feed_first_wins", _feed_sql().replace("select feed, file_no, record_no, key, name,", "select feed, key, first_file, name from (select feed, key, file_no as first_file, name, row_number() over (partition by feed, key order by file_no, record_no, name nulls first) as n from (select feed, file_no, record_no, key, name,") + ")) where n = 1")
+def _(s, d):
+    """The first delivery of every dog of a feed."""
+    return R.pick_by(QUERIES["feed_listings"](s, d), ["feed", "key"], [F.asc("file_no"), F.asc("record_no"), F.asc_nulls_first("name")]).select("feed", "key", F.col("file_no").alias("first_file"), "name")

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from kennelflow.functions import feeds as P
 from kennelflow.functions import listing as X
 
 AT = datetime(2026, 7, 1)
@@ -28,7 +29,12 @@ CASES = {
     "flags": (X.yes_no, {"Yes": True, "good with all": True, "No": False, "not yet": False, "maybe": None, "": None}),
     "fresh": (X.fresh, {"available": "fresh", "still_seen": "fresh", "missing_once": "stale", "missing_multiple_runs": "missing", "likely_unavailable": "missing", "x": "uncertain"}),
     "photo": (X.placeholder_photo, {"https://h/No_Photo.jpg": True, "https://h/coming-soon.png": True, "https://h/generic.svg": True, "https://h/a-1.jpg": False}),
-    "html": (X.html_to_text, {"<p>A&nbsp;b</p>c<br>d": "A b\nc\nd", "x &amp;lt; y": "x &lt; y"}),
+    "html": (X.html_to_text, {"<p>A&nbsp;b</p>c<br>d": "A b\n\nc\nd", "it&#39;s &ldquo;x&rdquo; &mdash; y": "it's \"x\" — y", "<br> ": None}),
+    "prose": (X.html_to_prose, {"a<br>\nb<br><br/>c": "a b\n\nc", "one\ntwo": "one two"}),
+    "epoch": (P.epoch_date, {"1740148830": "2025-02-21", "0": None, "x": None, "": None}),
+    "breed": (P.bare_breed, {"Mixed Breed (Medium)": "Mixed Breed", "Pug (X-Large) (toy)": "Pug (toy)", " ": None}),
+    "permalink": (P.trailing_id, {"https://h/dogs/rex-12345/": "12345", "https://h/x": None}),
+    "attribute": (P.attribute_text, {"&lt;b&gt; &quot;x&quot; &amp;amp;": '<b> "x" &amp;'}),
 }
 
 
@@ -62,3 +68,20 @@ def test_sizes_and_picture_sizes(spark):
     assert all(r.got == r.want for r in df.select(X.size_of(F.col("t"), F.col("lbs")).alias("got"), "want").collect())
     sizes = spark.createDataFrame([(160, 120, True), (160, 121, False), (None, 120, False)], "w int, h int, want boolean")
     assert all(r.got == r.want for r in sizes.select(X.placeholder_size(F.col("w"), F.col("h")).alias("got"), "want").collect())
+
+
+def test_pictures_of_feeds(spark):
+    one = lambda f, schema, *rows: [r[0] for r in spark.createDataFrame(list(rows), schema).select(f.alias("v")).collect()]
+    assert one(P.picture_series(F.lit("https://h/"), F.col("i"), F.col("n")), "i string, n int", ("a", 2), ("b", 0), ("c", None), ("d", 99)) == [["https://h/a/1.jpg", "https://h/a/2.jpg"], [], ["https://h/c/1.jpg"], [f"https://h/d/{k}.jpg" for k in range(1, 13)]]
+    photos = {"0": ("https://h/b.jpg", False, 2), "1": ("https://h/a.jpg", True, 9), "2": ("https://h/c.jpg", None, 1), "3": ("https://h/c.jpg", False, 3), "4": ("https://h/nopic.jpg", False, 0), "5": (None, True, 0)}
+    schema = "p map<string,struct<url:string,isCover:boolean,order_column:int>>"
+    assert one(P.ordered_pictures(F.col("p")), schema, (photos,), (None,)) == [["https://h/a.jpg", "https://h/c.jpg", "https://h/b.jpg"], []]
+    assert one(P.best_variants(F.col("u")), "u array<string>", (["https://h/a-150x150.jpg", "https://h/a.jpg", "https://h/b_thumb.jpg", "https://h/b-300x200.jpg"],)) == [["https://h/a.jpg", "https://h/b-300x200.jpg"]]
+    assert one(P.flag_of(F.col("t"), "done well with dogs", "only dog home"), "t string", ("Has done well with DOGS",), ("only dog home",), ("x",), (None,)) == [True, False, None, None]
+
+
+def test_facts(spark):
+    text = "Sex: Male\nWeight: 40 lbs\n3 years old\nGood with cats\nLoves naps"
+    rules = {"sex": r"(?i)^sex:\s*(.+)$", "weight": r"(?i)^weight:\s*(.+)$", "age": r"(?i)^(.*years? old)$"}
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(P.facts(F.col("t"), rules).alias("f")).collect()
+    assert got[0].f.asDict() == {"sex": "Male", "weight": "40 lbs", "age": "3 years old", "rest": ["Good with cats", "Loves naps"]} and got[1].f.asDict() == {"sex": None, "weight": None, "age": None, "rest": []}
