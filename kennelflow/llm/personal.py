@@ -76,7 +76,7 @@ ADDRESS = re.compile(
 NUMBER = re.compile(r"(?<![\w/.+-])(?:[A-Z]{1,2}(?=\d)|[A-Z]{2} (?=\d\d \d\d \d\d))?\d(?:[ -]?\d){5,14}(?:[ -]?[A-Z])?(?![\w/])(?!-\d)")
 # Shapes of well-known identity numbers (US, Spain, Britain).
 SEED_SHAPES = ("999-99-9999", "99999999A", "A9999999A", "AA999999A")
-_TITLE = re.compile(r"(?<![\w])(?:mr|mrs|ms|mx|miss|dr|sra?|srta|mme|mlle|prof|don|doña|señora?|monsieur|madame)\.?\s+(?=\S)", re.I)
+_TITLE = re.compile(r"(?<!\w)(?:mr|mrs|ms|mx|miss|dr|sra?|srta|mme|mlle|prof|don|doña|señora?|monsieur|madame)\.?\s+$", re.I)
 # Words that make a name that of an organisation.
 _ORG = set("foundation group clinic services service supply county veterinary animal pet rescue society hospital shelter center centre inc llc ltd co company league haven association club department control humane fund trust store school church council partners".split())
 _CAPITAL = re.compile(r"(?<!\w)[^\W\d_a-zß-öø-ÿ](?:[^\W\d_]|['’](?=[^\W\d_]))*(?:-[^\W\d_]+(?:['’][^\W\d_]+)?)*")
@@ -90,6 +90,7 @@ _GAP = re.compile(r"(\.?)([^\S\n]{1,3})(?!\s)")
 _COMMA = re.compile(r", ?(?!\s)")
 _BREAK = re.compile(r"[\n/;,()<>.!?]")
 _NEXT = re.compile(r"\s+([^\W\d_]+)")
+_SMALL = re.compile(r"[a-zß-öø-ÿ]+")
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _BEFORE = re.compile(_TOKEN.pattern.replace("(?<!\\w)", "(?<!\\w)(", 1) + r")\s+$")
 # What may be an address or an email although the grammar doesn't know it.
@@ -104,6 +105,8 @@ class Taken:
         self.spans: list[tuple[int, int]] = sorted((s[0], s[1]) for s in spans)
 
     def free(self, i: int, j: int) -> bool:
+        if not self.spans:
+            return True
         k = bisect_left(self.spans, (i, i))
         return (k == len(self.spans) or self.spans[k][0] >= j) and (k == 0 or self.spans[k - 1][1] <= i)
 
@@ -185,14 +188,14 @@ def name_candidates(text: str, taken: Taken) -> list[tuple[int, int, str, str, s
 
     Forms: ``pair`` (first or initial, last), ``title`` (title, last) and ``turned`` (last, first). Words touching a span are no candidates.
     """
-    titled = {m.end() for m in _TITLE.finditer(text)}
     out = []
+    some = bool(taken.spans)
     for m in _CAPITAL.finditer(text):
         i, j = m.span()
         w = m[0]
-        if not taken.free(i, j):
+        if some and not taken.free(i, j):
             continue
-        if i in titled and len(w) > 2 and not _organisation(text, j):
+        if j - i > 2 and text[i - 1 : i].isspace() and _TITLE.search(text, max(0, i - 24), i) and not _organisation(text, j):
             out.append((i, j, "title", "", family(w)))
         if nxt := _following(text, j, taken):
             # first or initial; a middle initial and particles may stand before the last name
@@ -253,7 +256,7 @@ def family(word: str) -> str:
 
 def cased(text: str) -> bool:
     """Written in both cases, so that capitals tell something."""
-    return sum(map(str.islower, text)) > sum(map(str.isupper, text))
+    return len(_SMALL.sub("", text)) < len(text) - len(text) // 2 or sum(map(str.islower, text)) > sum(map(str.isupper, text))
 
 
 def email_words(address: str) -> set[str]:
@@ -450,7 +453,7 @@ def personal_information(docs: DataFrame) -> DataFrame:
     judged = cand.join(scored.select(*key, "o", *[f"e{k}" for k in range(len(_NODES))]), on).select(cand["*"], "o", *[f"e{k}" for k in range(len(_NODES))])
 
     # second reading, of texts with a known family name in lower case only
-    known = judged.filter(F.col("learns") & (F.col("graph") == "name") & (F.col("e3") >= CLEAR) & _accepted()).select(F.col("f3").alias("name")).distinct()
+    known = judged.filter(F.col("learns") & (F.col("graph") == "name") & (F.col("e3") > -CLEAR / 4) & _accepted()).select(F.col("f3").alias("name")).distinct()
     slots = _slots(known)
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
