@@ -133,6 +133,9 @@ def _(s, d):
     return LISTINGS["listing_components"](s, d)
 
 
+SQL["listing_components"] = SQL["components"]
+
+
 def _members(s, d):
     c = cut_lineage(LISTINGS["listing_components"](s, d))
     t = listings(s, d, "name", "source_id", "sex", "breed_raw", "breed_normalized", "stale_status", "primary_photo_url", "description", "last_seen_at")
