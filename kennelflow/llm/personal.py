@@ -418,17 +418,25 @@ def _accepted() -> Column:
     )
 
 
-def _disjoint(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """doc_id, found: of overlapping values of a document the one of the better order, then the first, counts."""
-    for b in it:
-        out = []
-        for doc, found in zip(b.doc_id, b.found):
-            taken = Taken()
-            for x in found:
-                if taken.free(x["start_pos"], x["end_pos"]):
-                    taken.add(x["start_pos"], x["end_pos"])
-                    out.append((doc, x["kind"], x["start_pos"], x["end_pos"]))
-        yield pd.DataFrame(out, columns=["doc_id", "kind", "start_pos", "end_pos"])
+def _chosen(accepted: DataFrame) -> DataFrame:
+    """doc_id, graph, start_pos, end_pos, f3: of overlapping values of a document the one of the better order, then the first, counts."""
+    form = F.regexp_replace("form", " caps$", "")
+    order = F.when(form == "seed", 0).when(F.col("graph") == "id_number", 1).when((form == "pair") & (F.col("e3") > -CLEAR / 4), 2).when(form == "lower", 3).when(form == "title", 4).when(form == "turned", 5).otherwise(6)
+    # a document's values are bounded by its length
+    per_doc = accepted.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(order.alias("order"), "start_pos", "end_pos", "graph", "f3"))).alias("found"))
+
+    def choose(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            out = []
+            for doc, found in zip(b.doc_id, b.found):
+                taken = Taken()
+                for x in found:
+                    if taken.free(x["start_pos"], x["end_pos"]):
+                        taken.add(x["start_pos"], x["end_pos"])
+                        out.append((doc, x["graph"], x["start_pos"], x["end_pos"], x["f3"]))
+            yield pd.DataFrame(out, columns=["doc_id", "graph", "start_pos", "end_pos", "f3"])
+
+    return per_doc.mapInPandas(choose, accepted.select("doc_id", "graph", "start_pos", "end_pos", "f3").schema)
 
 
 def personal_information(docs: DataFrame) -> DataFrame:
@@ -453,7 +461,8 @@ def personal_information(docs: DataFrame) -> DataFrame:
     judged = cand.join(scored.select(*key, "o", *[f"e{k}" for k in range(len(_NODES))]), on).select(cand["*"], "o", *[f"e{k}" for k in range(len(_NODES))])
 
     # second reading, of texts with a known family name in lower case only
-    known = judged.filter(F.col("learns") & (F.col("graph") == "name") & (F.col("e3") > -CLEAR / 4) & _accepted()).select(F.col("f3").alias("name")).distinct()
+    accepted = cut_lineage(judged.filter(_accepted()).select("doc_id", "graph", "form", "start_pos", "end_pos", "f3", "e3"))
+    known = _chosen(accepted).filter("graph = 'name'").select(F.col("f3").alias("name")).distinct()
     slots = _slots(known)
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -467,12 +476,8 @@ def personal_information(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=_CANDIDATE)
 
     lower = _hashes(docs.mapInPandas(read, _schema(docs))).withColumns({"o": F.lit(0.0), "seed": F.lit(False)})
-    judged = judged.unionByName(judge(lower, nodes, None).select(judged.columns))
-    form = F.regexp_replace("form", " caps$", "")
-    order = F.when(form == "seed", 0).when(F.col("graph") == "id_number", 1).when((form == "pair") & (F.col("e3") > -CLEAR / 4), 2).when(form == "lower", 3).when(form == "title", 4).when(form == "turned", 5).otherwise(6)
-    per_doc = judged.filter(_accepted()).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(order.alias("order"), "start_pos", "end_pos", F.col("graph").alias("kind")))).alias("found"))
-    out = docs.select("doc_id", F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("start_pos"), F.lit(0).cast("bigint").alias("end_pos")).schema
-    return per_doc.mapInPandas(_disjoint, out)
+    more = judge(lower, nodes, None).filter(_accepted()).select(accepted.columns)
+    return _chosen(accepted.unionByName(more)).select("doc_id", F.col("graph").alias("kind"), "start_pos", "end_pos")
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
