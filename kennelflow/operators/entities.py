@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PLACEHOLDER_PHOTO = r"(?i)no[-_ ]?(?:image|pic|photo)|placeholder|default[-_.]|generic\.(?:svg|png|jpg)"
-#: Months that the ages of one dog's listings may lie apart.
+# Addresses of pictures that link no listings, and months that the ages of one dog's listings may lie apart.
+PLACEHOLDER_PHOTO = r"(?i)no[-_ ]?(image|pic|photo)|placeholder|default[-_.]|generic\.(svg|png|jpg)"
 AGE_GAP = 24
 
 
